@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import near_duplicates
+from tallyloom.llm import near_duplicates, site_lines, splitting
 from tallyloom.session import read_table
 
 
@@ -18,8 +18,31 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_groups(read_table(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.found_lines(read_table(spark, d, "chunks"))
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.without_lines(read_table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(read_table(spark, d, "chunks"), read_table(spark, d, "size_limits"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(read_table(spark, d, "chunks"), read_table(spark, d, "size_limits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {
+        "p1_found": p1_found,
+        "p1_groups": p1_groups,
+        "p3_found": p3_found,
+        "p3_clean": p3_clean,
+        "p4_found": p4_found,
+        "p4_pieces": p4_pieces,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
