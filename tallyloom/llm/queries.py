@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import near_duplicates, site_lines, splitting
+from tallyloom.llm import leakage, near_duplicates, packing, site_lines, splitting, survivors
 from tallyloom.session import read_table
 
 
@@ -34,6 +34,26 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(read_table(spark, d, "chunks"), read_table(spark, d, "size_limits"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.latest_survivors(read_table(spark, d, "financial_facts"), read_table(spark, d, "filings"))
+
+
+def p5_truth(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.truth_discovery(read_table(spark, d, "financial_facts"), read_table(spark, d, "filings"))[0]
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"), read_table(spark, d, "size_limits"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.matches(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -42,6 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_clean": p3_clean,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p5_found": p5_found,
+        "p5_truth": p5_truth,
+        "p6_containers": p6_containers,
+        "p7_found": p7_found,
+        "p7_matches": p7_matches,
     }
 
 
