@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import leakage, near_duplicates, packing, site_lines, splitting, survivors
+from tallyloom.llm import answer_defects, leakage, near_duplicates, packing, site_lines, splitting, survivors
 from tallyloom.session import read_table
 
 
@@ -18,6 +18,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_groups(read_table(spark, d, "chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.found(read_table(spark, d, "eval_results"))
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.labelled(read_table(spark, d, "eval_results"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.found_lines(read_table(spark, d, "chunks"))
 
@@ -58,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_groups": p1_groups,
+        "p2_found": p2_found,
+        "p2_labels": p2_labels,
         "p3_found": p3_found,
         "p3_clean": p3_clean,
         "p4_found": p4_found,
