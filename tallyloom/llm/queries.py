@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import answer_defects, leakage, near_duplicates, packing, site_lines, splitting, survivors
+from tallyloom.llm import answer_defects, leakage, near_duplicates, packing, residue, site_lines, splitting, survivors
 from tallyloom.session import read_table
 
 
@@ -62,6 +62,10 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return leakage.matches(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.kinds(read_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_containers": p6_containers,
         "p7_found": p7_found,
         "p7_matches": p7_matches,
+        "p8_found": p8_found,
     }
 
 
