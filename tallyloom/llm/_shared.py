@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_00
         n = b.num_rows
         if not n:
             continue
-        lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False))
+        lens = np.asarray(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False))
         ends = np.cumsum(lens.astype(np.int64))
         start = 0
         while start < n:
