@@ -1 +1,126 @@
-"""Further queries: sources, tables, charts, streams."""
+"""Further queries: tables as grids, charts, plans, logs and event streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.catalogue import _BEST, _best, _joined, query
+from tallyloom.functions import charts
+from tallyloom.functions import text as X
+from tallyloom.operators import facts, scoring
+from tallyloom.plans import answering, ingest
+from tallyloom.session import read_table
+from tallyloom.streaming import state, windows
+
+C = F.col
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(s, d):
+    return windows.tumbling(windows.with_time(read_table(s, d, "events")), "1 hour", "event_type").withColumns({"total": F.round("total", 2), "window_start": C("window_start").cast("timestamp_ntz")})
+
+
+@query("SELECT b + h * INTERVAL '30 minutes' AS window_start, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT time_bucket(INTERVAL '30 minutes', ts)::TIMESTAMP - INTERVAL '30 minutes' AS b, value FROM events), (VALUES (0), (1)) t(h) GROUP BY 1")
+def event_sliding_windows(s, d):
+    return windows.tumbling(windows.with_time(read_table(s, d, "events")), "1 hour", slide="30 minutes").withColumns({"total": F.round("total", 2), "window_start": C("window_start").cast("timestamp_ntz")})
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts)::TIMESTAMP AS session_start, (max(ts) + INTERVAL '30 minutes')::TIMESTAMP AS session_end, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(s, d):
+    return windows.sessions(windows.with_time(read_table(s, d, "events")), "30 minutes", "user_id").withColumns({c: C(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query()
+def token_bucket(s, d):
+    return state.rate_limited(read_table(s, d, "events"), capacity=3.0, window=3600.0)
+
+
+@query()
+def circuit_breaker(s, d):
+    e = read_table(s, d, "events").withColumn("ok", C("event_type") != "error")
+    return state.breaker_states(e, "user_id", "ts", "event_id", "ok", failures=2, rest=3600.0)
+
+
+@query(
+    f"""WITH b AS ({_BEST}) SELECT ticker, fiscal_period, 'line' AS type, ticker || ' key figures' AS title, list(canonical_field ORDER BY canonical_field)[1] AS first_label, count(*)::INT AS labels, round(sum(value), 2) AS total FROM b GROUP BY 1, 2"""
+)
+def chart_extract(s, d):
+    """Charts written into answer texts and read back; large values are written with thousands separators."""
+    b = _best(s, d).groupBy("ticker", "fiscal_period").agg(F.array_sort(F.collect_list(F.struct("canonical_field", "value"))).alias("l"))
+    num = F.transform("l", lambda x: x["value"])
+    spec = F.struct(F.lit("LINE").alias("type"), F.concat("ticker", F.lit(" key figures")).alias("title"), F.transform("l", lambda x: x["canonical_field"]).alias("x"), F.array(F.struct(F.lit("FY").alias("name"), num.alias("values"))).alias("series"))
+    answer = F.concat(F.lit("Here it is.\n```chart_data\n"), F.regexp_replace(F.to_json(spec), r"\}$", ",}"), F.lit("\n```\nDone."))
+    c = b.select("ticker", "fiscal_period", charts.extract(answer).alias("c"))
+    return c.select("ticker", "fiscal_period", "c.type", "c.title", C("c.x")[0].alias("first_label"), F.size("c.x").alias("labels"), F.round(F.aggregate(C("c.series")[0]["values"], F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
+
+
+@query("SELECT id, len(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '| ')))::INT - 2 AS body_rows, len(string_split(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '| '))[1], ' | '))::INT AS columns FROM (SELECT DISTINCT id, content FROM chunks WHERE is_table AND contains(content, '| --- |')) WHERE len(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '| '))) > 2")
+def table_shapes(s, d):
+    """Markdown tables of chunks as grids: rows of the body and columns."""
+    c = read_table(s, d, "chunks").where(C("is_table") & F.contains("content", F.lit("| --- |"))).select("id", "content").distinct()
+    lines = F.filter(F.split("content", "\n"), lambda x: F.startswith(x, F.lit("| ")))
+    return c.withColumn("l", lines).where(F.size("l") > 2).select("id", (F.size("l") - 2).alias("body_rows"), F.size(F.split(C("l")[0], r" \| ")).alias("columns"))
+
+
+@query("SELECT doc_id, count(*)::BIGINT AS chunks FROM (SELECT doc_id, unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE ceil((n - 300) / 270)::INT + 1 END)) FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) AS n FROM documents) WHERE n > 0) GROUP BY 1".replace("\\\\", "\\"))
+def document_chunks(s, d):
+    """The ingestion plan over plain texts; documents that are a bare number or blank give no chunk."""
+    docs = read_table(s, d, "documents").select(C("doc_id").cast("string").alias("paper_id"), F.lit("txt").alias("file_type"), F.lit("text").alias("kind"), C("text").alias("content"))
+    return ingest.document_chunks(docs).where("problem is null").groupBy(C("paper_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("SELECT company_id, form_type, fiscal_period FROM filings WHERE filing_id % 3 = 0 GROUP BY ALL EXCEPT SELECT company_id, form_type, fiscal_period FROM filings WHERE filing_id % 2 = 0")
+def get_or_create_filings(s, d):
+    """Filings (company, form, period) that a load would create, each once."""
+    f = read_table(s, d, "filings")
+    key = ["company_id", "form_type", "fiscal_period"]
+    new = f.where("filing_id % 3 = 0").select(*key).distinct().alias("l")
+    return new.join(f.where("filing_id % 2 = 0").select(*key).distinct().alias("r"), facts.same_key(key), "left_anti")
+
+
+@query("WITH r AS (SELECT id, paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM (SELECT DISTINCT id, paper_id FROM chunks)), f AS (SELECT id, paper_id, i, count(*) OVER (PARTITION BY paper_id) AS n FROM r WHERE i < 200) SELECT id, paper_id FROM f WHERE i IN (0, n // 3, (2 * n) // 3)")
+def sampled_chunks(s, d):
+    return scoring.sampled_positions(read_table(s, d, "chunks").select("id", "paper_id").distinct(), "paper_id", "id")
+
+
+@query("SELECT 'quantitative' AS track, result_id, latency_ms, NULL::BIGINT AS faithfulness FROM eval_results WHERE mode = 'quantitative' UNION ALL SELECT 'other', result_id, NULL, length(model_answer) % 6 FROM eval_results WHERE mode IS DISTINCT FROM 'quantitative'")
+def merged_tracks(s, d):
+    """Tracks with different columns one after the other."""
+    r = read_table(s, d, "eval_results")
+    a = r.where("mode = 'quantitative'").select(F.lit("quantitative").alias("track"), "result_id", "latency_ms")
+    b = r.where("mode is distinct from 'quantitative'").select(F.lit("other").alias("track"), "result_id", (F.length("model_answer") % 6).cast("long").alias("faithfulness"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT ticker, round(avg(v), 4) AS avg, round(min(v), 4) AS min, round(max(v), 4) AS max FROM (SELECT ticker, relative_error_pct AS v FROM eval_results WHERE relative_error_pct IS NOT NULL) GROUP BY 1")
+def error_summary(s, d):
+    r = read_table(s, d, "eval_results").where("relative_error_pct is not null").groupBy("ticker").agg(F.array_sort(F.collect_list("relative_error_pct")).alias("l"))
+    return r.select("ticker", scoring.similarity_summary(C("l")).alias("s")).select("ticker", "s.*")
+
+
+@query("SELECT result_id, regexp_replace(regexp_replace(model_answer, '```chart_data\\s*\\n?.*?```', '', 'gs'), '```chart_data.*$', '', 'gs') IS NOT NULL AS shown, length(model_answer) AS chars FROM eval_results WHERE model_answer IS NOT NULL".replace("\\\\", "\\"))
+def visible_answers(s, d):
+    r = read_table(s, d, "eval_results").where("model_answer is not null")
+    return r.select("result_id", X.visible_answer(C("model_answer")).isNotNull().alias("shown"), F.length("model_answer").cast("long").alias("chars"))
+
+
+@query()
+def question_prompts(s, d):
+    """Routing, abstention, facts block and prompt of every stored question."""
+    q = read_table(s, d, "eval_results").where("question is not null").select(C("result_id").alias("query_id"), "question")
+    ff, fl, co = (read_table(s, d, t) for t in ("financial_facts", "filings", "companies"))
+    route = answering.routed(q, ff, fl, co)
+    return answering.prompts(route, facts.context_block(_best(s, d), co))
+
+
+@query(
+    """WITH x AS (SELECT ticker, max(period_end) AS e FROM financial_facts JOIN filings USING (filing_id) JOIN companies USING (company_id) GROUP BY 1)
+    SELECT ticker, fiscal_period, count(*) AS facts, count(DISTINCT canonical_field) AS fields, bool_or(year(period_end) = year(e)) AS in_latest_year FROM financial_facts JOIN filings USING (filing_id) JOIN companies USING (company_id) JOIN x USING (ticker) GROUP BY 1, 2"""
+)
+def period_coverage(s, d):
+    j = _joined(s, d)
+    latest = j.groupBy("ticker").agg(F.max("period_end").alias("e"))
+    return j.join(latest, "ticker").groupBy("ticker", "fiscal_period").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("canonical_field").alias("fields"), F.bool_or(F.year("period_end") == F.year("e")).alias("in_latest_year"))

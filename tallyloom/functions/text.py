@@ -136,6 +136,6 @@ def upload_problem(name: Column, size: Column, mime: Column, max_mb: int = 100)
 
 
 def visible_answer(c: Column) -> Column:
-    """An answer without chart fences, closed ones first, then one left open at the end."""
-    t = F.regexp_replace(c, r"(?si)```(?:chart|json)\b.*?```", "")
-    return F.trim(F.regexp_replace(t, r"(?si)```(?:chart|json)\b.*$", ""))
+    """An answer without chart blocks, closed ones first, then one left open at the end."""
+    t = F.regexp_replace(c, r"(?s)```chart_data\s*\n?.*?```", "")
+    return F.trim(F.regexp_replace(t, r"(?s)```chart_data.*$", ""), F.lit(" \t\r\n"))
