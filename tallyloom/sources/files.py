@@ -13,8 +13,8 @@ KINDS = {"html": "html", "htm": "html", "csv": "csv", "txt": "text", "md": "text
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, paper_id, file_type, kind, content of the text files below a path; kind is null for unknown types."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(C("_metadata.file_path").alias("path"), C("_metadata.file_name").alias("name"), C("value").alias("content"))
+    """path, paper_id, file_type, kind, content of the text files below a path; kind is null for unknown types, files of no bytes are not listed."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), C("content").cast("string").alias("content"))
     ext = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), ext)
     return df.select("path", F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "").alias("paper_id"), ext.alias("file_type"), kind.alias("kind"), "content")

@@ -59,19 +59,24 @@ FENCE, CLOSE = "```chart_data", "```"
 
 
 def visible_step(state: tuple | None, delta: str) -> tuple[tuple, str]:
-    """State (inside a chart, held text); input a piece of text; result what may be shown now."""
+    """State (inside a chart, held text); input a piece of text; result what may be shown now.
+
+    Text that may be the start of a chart fence is held, so the result of a
+    whole stream doesn't depend on where it is cut.
+    """
     inside, held = state or (False, "")
-    held += delta
+    held, out = held + delta, ""
+    while True:
+        at = held.find(CLOSE if inside else FENCE)
+        if at < 0:
+            break
+        out += "" if inside else held[:at]
+        held = held[at + len(CLOSE if inside else FENCE) :]
+        inside = not inside
     if inside:
-        return ((False, "") if CLOSE in held else (True, held[-2:])), ""
-    at = held.find(FENCE)
-    if at >= 0:
-        rest = held[at + len(FENCE) :]
-        return ((False, "") if CLOSE in rest else (True, rest[-2:])), held[:at]
-    mark = held.find(CLOSE)
-    if mark >= 0 and FENCE.startswith(held[mark:]):
-        return (False, held), ""
-    return (False, ""), held
+        return (True, held[-2:]), out
+    keep = next((n for n in range(min(len(held), len(FENCE) - 1), 0, -1) if held.endswith(FENCE[:n])), 0)
+    return (False, held[len(held) - keep :]), out + held[: len(held) - keep]
 
 
 def visible_text(deltas: list[str]) -> str:
