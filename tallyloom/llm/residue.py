@@ -90,10 +90,11 @@ _SCRIPT = re.compile(
     re.I,
 )
 _ERROR = re.compile(
-    r"\b(?:http|error|status|code|fehler|erreur|código|codigo|errore)\W{0,4}[45]\d\d\b|^\W*[45]\d\d\b(?!\s*(?:million|billion|percent|\.\d|,\d))|\((?:fehler |error |erreur )?[45]\d\d\)\W*$|\b(?:page|document|file|report|filing|object|resource|url)\b.{0,40}\b(?:not (?:be )?found|missing|could not be (?:found|loaded|opened)|cannot be (?:found|displayed|loaded)|no longer (?:exists|available)|has moved|does not exist|is gone)|no longer exists|not found\W*$|forbidden|access (?:is |was )?denied\W*(?:you|$)|do not have (?:permission|access)|permission denied|temporarily unavailable|service unavailable|(?:down|closed|offline) for maintenance|under maintenance|bad gateway|gateway time-?out|bad request|unauthori[sz]ed|request time-?d? ?out|timeout after|upstream (?:request|viewer|server)|internal server error|server error|something went wrong|\boops\b|looked everywhere|database connection|query failed|relation \S+ does not exist|exception in thread|null ?pointer|stack ?trace|traceback \(|^\s*file \S+, line|^\s*\w*(?:error|exception): |<error>|nosuch(?:object|key|bucket)|checksum mismatch|too many requests|rate limit|(?:address|ip|account) has been (?:limited|blocked|suspended)|connection (?:was|has been) (?:reset|refused|closed|lost)|connection (?:reset|refused|timed out)|(?:link|session|token) (?:has )?expired|sign in again|not available in your (?:region|country)|\bsorry\b.{0,40}\bnot available|come back later|try again (?:later|in )|\"status\": ?[45]\d\d|core dumped|segmentation fault|out of memory|dns (?:error|lookup)|certificate (?:has )?expired"
+    r"\b(?:http|error|status|code|fehler|erreur|código|codigo|errore)\W{0,4}[45]\d\d\b|\((?:fehler |error |erreur )?[45]\d\d\)\W*$|\b(?:page|document|file|report|filing|object|resource|url)\b.{0,40}\b(?:not (?:be )?found|missing|could not be (?:found|loaded|opened)|cannot be (?:found|displayed|loaded)|no longer (?:exists|available)|has moved|does not exist|is gone)|no longer exists|not found\W*$|forbidden|access (?:is |was )?denied\W*(?:you|$)|do not have (?:permission|access)|permission denied|temporarily unavailable|service unavailable|(?:down|closed|offline) for maintenance|under maintenance|bad gateway|gateway time-?out|bad request|unauthori[sz]ed|request time-?d? ?out|timeout after|upstream (?:request|viewer|server)|internal server error|server error|something went wrong|\boops\b|looked everywhere|database connection|query failed|relation \S+ does not exist|exception in thread|null ?pointer|stack ?trace|traceback \(|^\s*file \S+, line|^\s*\w*(?:error|exception): |<error>|nosuch(?:object|key|bucket)|checksum mismatch|too many requests|rate limit|(?:address|ip|account) has been (?:limited|blocked|suspended)|connection (?:was|has been) (?:reset|refused|closed|lost)|connection (?:reset|refused|timed out)|(?:link|session|token) (?:has )?expired|sign in again|not available in your (?:region|country)|\bsorry\b.{0,40}\bnot available|come back later|try again (?:later|in )|\"status\": ?[45]\d\d|core dumped|segmentation fault|out of memory|dns (?:error|lookup)|certificate (?:has )?expired"
     r"|nicht gefunden|existiert nicht|konnte nicht (?:geladen|gefunden|geöffnet)|nicht (?:verfügbar|erreichbar)|zugriff verweigert|wartungsarbeiten|introuvable|indisponible|n'existe (?:plus|pas)|accès (?:refusé|interdit)|n'a pas pu être|no encontrad[oa]|no disponible|acceso denegado|no se (?:pudo|ha podido)|non trovat[oa]|não encontrad[oa]",
     re.I,
 )
+_PAYLOAD = re.compile(r'"(?:status|code)": ?"?[45]\d\d\b')
 _QUOTED = re.compile(r'["“„«]([^"“”„«»\n]{1,80})["”»“]')
 _DIGITS = re.compile(r"\d+")
 _MENU = frozenset("home filings alerts help skip to main content back search menu reports contact about us login log in sign up register top print email share next previous archive news investors careers privacy terms cookies sitemap imprint navigation close open subscribe support faq language english deutsch français español startseite suche kontakt hilfe impressum accueil recherche inicio buscar contacto ayuda of the and".split())
@@ -143,7 +144,7 @@ def classify(line: str) -> str:
         own = _QUOTED.sub(" ", line) if quotes else line
         if script and _SCRIPT.search(own):
             return "script_notice"
-        if error and _ERROR.search(own):
+        if error and (_ERROR.search(own) or _PAYLOAD.search(line)):
             return "error_page"
     return "text" if len(ws) >= 4 else "title"
 
