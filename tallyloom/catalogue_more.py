@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.catalogue import _BEST, _best, _joined, query
+from tallyloom.catalogue import _BEST, _READER, _SIM, _best, _best_sql, _joined, _pairs, _vectors, query
 from tallyloom.functions import charts
 from tallyloom.functions import text as X
-from tallyloom.operators import facts, scoring
+from tallyloom.operators import ann, evaluation, facts, lexical, retrieval, scoring
 from tallyloom.plans import answering, ingest
 from tallyloom.session import read_table
 from tallyloom.streaming import state, windows
@@ -124,3 +124,77 @@ def period_coverage(s, d):
     j = _joined(s, d)
     latest = j.groupBy("ticker").agg(F.max("period_end").alias("e"))
     return j.join(latest, "ticker").groupBy("ticker", "fiscal_period").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("canonical_field").alias("fields"), F.bool_or(F.year("period_end") == F.year("e")).alias("in_latest_year"))
+
+
+_GOLDEN = _best_sql("coalesce(date_diff('day', period_start, period_end), 0) DESC, period_end DESC NULLS LAST, value DESC, fact_id DESC", columns="*")
+_HUMAN = (
+    "CASE WHEN canonical_field = 'eps_basic' THEN '$' || format('{:,.2f}', value) WHEN abs(value) >= 1e12 THEN '$' || format('{:.2f}', value / 1e12) || ' trillion (' || format('{:,.0f}', value) || ' ' || unit || ')' "
+    "WHEN abs(value) >= 1e9 THEN '$' || format('{:.2f}', value / 1e9) || ' billion (' || format('{:,.0f}', value) || ' ' || unit || ')' WHEN abs(value) >= 1e6 THEN '$' || format('{:.2f}', value / 1e6) || ' million (' || format('{:,.0f}', value) || ' ' || unit || ')' "
+    "ELSE format('{:,.2f}', value) || ' ' || unit END"
+)
+
+
+@query(
+    f"""SELECT lower(ticker) || '_' || lower(fiscal_period) || '_' || canonical_field || '_' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS id, ticker, fiscal_period, canonical_field,
+    replace(replace(replace(replace(coalesce(({_pairs(evaluation.GOLDEN_QUESTIONS)})[canonical_field], '{evaluation.GOLDEN_OTHER}'), '{{name}}', name), '{{ticker}}', ticker), '{{period}}', fiscal_period), '{{field}}', replace(canonical_field, '_', ' ')) AS question,
+    value AS ground_truth_value, unit AS ground_truth_unit, {_HUMAN} AS ground_truth_formatted, period_end FROM (SELECT *, row_number() OVER (ORDER BY ticker, fiscal_period, canonical_field) AS n FROM ({_GOLDEN}))"""
+)
+def golden_set(s, d):
+    return evaluation.golden_set(facts.best_fact(facts.reported(_joined(s, d)), "golden"))
+
+
+_TERMS = ("revenue", "currency", "translation")
+
+
+@query(
+    f"""WITH w AS (SELECT id, regexp_extract_all(lower(coalesce(content, '')), '([a-z0-9]+)', 1) AS w FROM (SELECT DISTINCT id, content FROM chunks)), t AS (SELECT id, len(w) AS n, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(_TERMS))} FROM w),
+    s AS (SELECT count(*) AS docs, avg(n) AS a, {', '.join(f'count_if(t{i} > 0) AS d{i}' for i in range(3))} FROM t),
+    x AS (SELECT id, {' + '.join(f'ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / a))' for i in range(3))} AS score FROM t, s)
+    SELECT id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM x WHERE score > 0 ORDER BY score DESC, id LIMIT 20"""
+)
+def bm25_topk(s, d):
+    return lexical.bm25(read_table(s, d, "chunks").select("id", "content").distinct(), _TERMS, 20)
+
+
+@query(
+    f"""WITH s AS (SELECT vec_id, {_SIM} AS sim, label FROM embeddings), a AS (SELECT vec_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= 20), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM s QUALIFY rank <= 20)
+    SELECT vec_id, round(sum(1.0 / (rank + 60)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1 ORDER BY score DESC, vec_id LIMIT 10"""
+)
+def rank_fusion(s, d):
+    """Two rankings of vectors fused; of equal scores the smaller id comes first."""
+    e, v = _vectors(s, d)
+    w = F.row_number().over
+    from pyspark.sql import Window
+
+    a = retrieval.top_k(e, v, 20, key="vec_id").withColumn("rank", w(Window.orderBy(C("similarity").desc(), "vec_id")))
+    b = e.orderBy("label", "vec_id").limit(20).withColumn("rank", w(Window.orderBy("label", "vec_id")))
+    return lexical.fuse([a, b], 10, key="vec_id")
+
+
+@query()
+def approximate_topk(s, d):
+    """Hashed hyperplanes over every vector; recall against the scan is tested."""
+    e, v = _vectors(s, d)
+    ix = ann.HyperplaneIndex(len(v))
+    return ix.search(ix.build(e, "vec_id"), e, v, 10, "vec_id")
+
+
+@query("SELECT result_id, coalesce(regexp_matches(lower(model_answer), '" + "|".join(p.replace("'", "''") for p in evaluation.DECLINES) + "'), false) AS declines FROM eval_results")
+def declining_answers(s, d):
+    return read_table(s, d, "eval_results").select("result_id", evaluation.declines(C("model_answer")).alias("declines"))
+
+
+@query("SELECT winner, count(*) AS n FROM (SELECT CASE WHEN best_match > ground_truth_value + 0.005 THEN 'a' WHEN ground_truth_value > best_match + 0.005 THEN 'b' ELSE 'tie' END AS winner FROM eval_results WHERE best_match IS NOT NULL AND ground_truth_value IS NOT NULL) GROUP BY 1")
+def win_counts(s, d):
+    return evaluation.win_counts(read_table(s, d, "eval_results"), "best_match", "ground_truth_value")
+
+
+@query()
+def scored_cases(s, d):
+    """Five dimensions of stored results, with similarities and judge scores shaped from their columns."""
+    r = read_table(s, d, "eval_results").select(
+        C("result_id").alias("id"), "model_answer", "ground_truth_value", "tolerance_pct", "canonical_field", "fiscal_period", F.array(*[F.lit(x) for x in evaluation.DIMENSIONS]).alias("eval_dimensions"),
+        (C("error") == "abstained").alias("abstention_expected"), F.transform(F.sequence(F.lit(1), F.greatest(C("sources_returned"), F.lit(1))), lambda i: 0.9 - i / 20.0).alias("similarities"),
+        evaluation.judge_scores(F.when(C("passed").isNotNull(), F.lit('ok {"relevance_score": 4, "groundedness_score": 4, "faithfulness_score": 3, "has_hallucination": false} end'))).alias("judge"),
+    )
+    return evaluation.score_cases(r)

@@ -83,9 +83,12 @@ def ladder(chunks: DataFrame, vector: Sequence[float], k: int, levels: Sequence[
 
 
 def relaxation(*, paper: str | None = None, ticker: str | None = None, period: str | None = None, scope: str | None = None, is_table: bool | None = None) -> list[Column]:
-    """As given; without scope; without period and scope; as given but any kind of chunk."""
+    """As given; without scope; without period and scope; as given but any kind of chunk; without a document, the company alone."""
     base = {"paper": paper, "ticker": ticker, "period": period, "scope": scope, "is_table": is_table}
-    return [metadata_filter(**(base | d)) for d in ({}, {"scope": None}, {"scope": None, "period": None}, {"is_table": None})]
+    rungs = [{}, {"scope": None}, {"scope": None, "period": None}, {"is_table": None}]
+    if ticker and not paper:
+        rungs.append({"period": None, "scope": None, "is_table": None})
+    return [metadata_filter(**(base | d)) for d in rungs]
 
 
 def merge_unique(groups: Sequence[DataFrame], key: str = "id", order: str = "similarity") -> DataFrame:

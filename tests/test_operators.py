@@ -63,7 +63,7 @@ def test_ladder_takes_the_first_rung_that_any_chunk_meets(spark):
     assert run(ticker="t", period="FY1", scope="standalone", is_table=True) == [("a", 1)]
     assert run(ticker="t", period="FY9", scope="standalone", is_table=True) == [("a", 2)]
     assert run(ticker="t", period="FY2", scope="unspecified", is_table=True) == [("a", 2)]
-    assert run(ticker="u", period="FY9", is_table=False) == [] and run(ticker="x") == []
+    assert run(ticker="u", period="FY9", is_table=False) == [("c", 4)] and run(ticker="x") == []
     both = retrieval.table_first(df, [1.0, 0.0], 1)
     assert {(r.id, r.group_no) for r in both.collect()} == {("a", 0), ("c", 0), ("b", 1)}
     assert [r.id for r in retrieval.rerank(df.withColumn("similarity", F.lit(0.5)), lambda h: h.withColumn("rerank_score", F.length("ticker") + F.ascii("id")), 2).collect()] == ["c", "b"]
