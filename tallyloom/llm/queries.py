@@ -85,5 +85,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_GRAM = "array_to_string(w[i : i + {0}], ' ')"
+_WHITE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_KIND = r"coalesce(nullif(trim(regexp_replace(lower(trim(file_type)), '^\.', '')), ''), 'other')"
+_KEY = r"regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{Nd}]+', '', 'g'), '\p{Nd}+', '0', 'g')"
+_FILLED = {
+    "value": "value IS NOT NULL AND NOT isnan(value)",
+    "unit": "unit IS NOT NULL",
+    "period_start": "period_start IS NOT NULL",
+    "period_end": "period_end IS NOT NULL",
+    "duration_days": "duration_days IS NOT NULL",
+    "source_page": "source_page IS NOT NULL",
+}
+
+
+def _text_filled(c: str) -> str:
+    nothing = ", ".join(f"'{w}'" for w in survivors.NOTHING)
+    return rf"{c} IS NOT NULL AND regexp_matches({c}, '[\p{{L}}\p{{Nd}}]') AND lower(trim({c})) NOT IN ({nothing})"
+
+
+def _sessions_sql(source: str, by: str, order: str, apart: int, name: str) -> str:
+    step = f"SELECT *, CASE WHEN {order} - lag({order}) OVER (PARTITION BY {by} ORDER BY {order}) > {apart} THEN 1 ELSE 0 END AS new_{name} FROM ({source})"
+    return f"SELECT *, sum(new_{name}) OVER (PARTITION BY {by} ORDER BY {order} RANGE UNBOUNDED PRECEDING) AS {name} FROM ({step})"
+
+
+def _p5_sql() -> str:
+    base = r"SELECT DISTINCT f.*, g.company_id, g.filed_date, regexp_replace(lower(canonical_field), '[^\p{L}\p{Nd}]+', '', 'g') AS fld, coalesce(duration_days, date_diff('day', period_start, period_end)) IS NULL AS pt, coalesce(duration_days, date_diff('day', period_start, period_end), 0) AS len, date_diff('day', DATE '1970-01-01', period_end) AS d FROM financial_facts f JOIN filings g USING (filing_id) WHERE period_end IS NOT NULL AND company_id IS NOT NULL"
+    by = "company_id, fld, pt"
+    for k in range(2):
+        base = _sessions_sql(base, by, "d", survivors.DAYS_APART, f"e{k}")
+        by += f", e{k}"
+        base = _sessions_sql(base, by, "len", survivors.LENGTH_APART, f"l{k}")
+        by += f", l{k}"
+    filled = _FILLED | {c: _text_filled(c) for c in ("unit", "source_page")}
+    each = " UNION ALL ".join(f"SELECT group_id, '{c}' AS field_name, fact_id FROM q WHERE {t} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY filed_date DESC NULLS LAST, filing_id DESC, fact_id DESC) = 1" for c, t in filled.items())
+    return f"WITH q AS (SELECT *, min(fact_id) OVER (PARTITION BY {by}) AS group_id FROM ({base}) QUALIFY count(*) OVER (PARTITION BY {by}) > 1) {each}"
+
+
+_SQL = {
+    "p1_found": f"""WITH c AS (SELECT DISTINCT id, {_WORDS.format('content')} AS w FROM chunks), g AS (SELECT DISTINCT id, {_GRAM.format(2)} AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM c)), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2) SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * k >= x.n + y.n - k""",
+    "p3_found": f"""WITH c AS (SELECT DISTINCT id, paper_id, upper(trim(ticker)) AS t, content, is_table FROM chunks WHERE trim(ticker) <> ''), p AS (SELECT t, count(DISTINCT paper_id) AS papers FROM c GROUP BY t),
+    l AS (SELECT id, paper_id, t, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM c WHERE NOT coalesce(is_table, false)), k AS (SELECT *, {_KEY} AS key FROM l),
+    g AS (SELECT t, key, count(DISTINCT paper_id) AS n FROM k WHERE key <> '' GROUP BY 1, 2) SELECT DISTINCT id, line_no::INT AS line_no FROM k JOIN g USING (t, key) JOIN p USING (t) WHERE n >= 5 AND 5 * n >= papers""",
+    "p4_found": f"""WITH c AS (SELECT DISTINCT id, {_KIND} AS kind, len(regexp_extract_all(content, '[^{_WHITE}]+')) AS n FROM chunks WHERE content IS NOT NULL), s AS (SELECT * FROM size_limits WHERE size_unit = 'words')
+    SELECT DISTINCT id FROM c WHERE n > coalesce((SELECT max_size FROM s WHERE item_kind = kind), (SELECT max_size FROM s WHERE item_kind = 'other'))""",
+    "p5_found": _p5_sql(),
+    "p7_found": f"""WITH g AS (SELECT DISTINCT item_id, {_GRAM.format(11)} AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items))),
+    d AS (SELECT DISTINCT doc_id, {_GRAM.format(11)} AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL))) SELECT DISTINCT doc_id, item_id FROM d JOIN g USING (gram)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

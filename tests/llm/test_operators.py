@@ -336,3 +336,16 @@ def test_queries_run_on_the_test_tables(spark, sf):
         df = f(spark, sf)
         assert df.columns == columns.get(name, df.columns), name
         assert df.count() > 0, name
+
+
+def test_queries_match_their_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("chunks", "filings", "financial_facts", "documents", "eval_items", "size_limits"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        got = c.execute(sql)
+        assert [d[0] for d in got.description] == df.columns, name
+        assert sorted(tuple(r) for r in df.collect()) == sorted(got.fetchall()), name
