@@ -53,20 +53,31 @@ def top_k(chunks: DataFrame, vector: Sequence[float], k: int, *, where: Column |
     return best.withColumn("similarity", F.round("similarity", 4)).withColumn("distance", F.round(1 - C("similarity"), 4))
 
 
-def top_k_of_each(chunks: DataFrame, questions: DataFrame, k: int, *, key: str = "id", query: str = "query_id", salts: int = 16) -> DataFrame:
-    """The k most similar chunks of every question of a small table (query_id, vector).
+#: Questions that ride along with every chunk at once.
+QUESTION_BLOCK = 500
 
-    The questions ride along as one array, checked by the caller to be small;
-    each partition keeps its own best k of a question before anything moves.
+
+def top_k_of_each(chunks: DataFrame, questions: DataFrame, k: int, *, key: str = "id", query: str = "query_id", salts: int = 16, block: int = QUESTION_BLOCK) -> DataFrame:
+    """The k most similar chunks of every question (query_id, vector).
+
+    Questions go over the chunks in counted blocks of at most `block`, each as
+    one array beside every chunk, so what is broadcast is bounded. A salted
+    rank keeps k rows of a question and salt before the last rank.
     """
-    packed = questions.agg(F.collect_list(F.struct(query, "vector")).alias("_q"))
-    df = chunks.crossJoin(F.broadcast(packed)).select(key, F.col("embedding"), F.explode("_q").alias("_e"))
-    df = df.select(C(f"_e.{query}").alias(query), key, numbers.cosine(C("embedding"), C("_e.vector")).alias("similarity")).where("similarity is not null")
+    blocks = max(1, -(-questions.count() // block))
     order = [C("similarity").desc(), C(key).asc()]
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    df = df.withColumn("_r", F.row_number().over(Window.partitionBy(query, "_salt").orderBy(*order))).where(C("_r") <= k)
-    df = df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(C("rank") <= k)
-    return df.select(query, key, "rank", F.round("similarity", 4).alias("similarity"))
+    out = None
+    for i in range(blocks):
+        own = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)
+        packed = own.agg(F.collect_list(F.struct(query, "vector")).alias("_q"))
+        df = chunks.crossJoin(F.broadcast(packed)).select(key, F.col("embedding"), F.explode("_q").alias("_e"))
+        df = df.select(C(f"_e.{query}").alias(query), key, numbers.cosine(C("embedding"), C("_e.vector")).alias("similarity")).where("similarity is not null")
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(query, "_salt").orderBy(*order))).where(C("_r") <= k)
+        df = df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(C("rank") <= k)
+        df = df.select(query, key, "rank", F.round("similarity", 4).alias("similarity"))
+        out = df if out is None else out.union(df)
+    return out
 
 
 def ladder(chunks: DataFrame, vector: Sequence[float], k: int, levels: Sequence[Column], *, key: str = "id") -> DataFrame:

@@ -58,7 +58,9 @@ def cik_of(names: DataFrame, landed: DataFrame, key: str = "query", json: str =
     q = names.select(key, F.upper(F.trim(key)).alias("t"))
     exact = q.join(entries.select("t", "cik", F.lit(1).alias("rank"), "pos"), "t").select(key, "rank", "pos", "cik")
     w = F.lower(F.trim(key))
-    fuzzy = names.select(key).join(F.broadcast(entries.select("title", "cik", "pos")), w.contains(C("title")) | C("title").contains(w)).select(key, F.lit(2).alias("rank"), "pos", "cik")
+    # titles can only be compared one by one; just the names without a ticker are, against the register's few thousand titles
+    rest = names.select(key).join(exact.select(key).distinct(), key, "left_anti")
+    fuzzy = rest.join(entries.select("title", "cik", "pos"), w.contains(C("title")) | C("title").contains(w)).select(key, F.lit(2).alias("rank"), "pos", "cik")
     return exact.union(fuzzy).groupBy(key).agg(F.min_by("cik", F.struct("rank", "pos")).alias("cik"))
 
 

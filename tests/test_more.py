@@ -90,3 +90,10 @@ def test_hyperplane_keys_agree_with_numpy(spark):
     for r in ix.build(df).collect():
         got.setdefault(r.id, []).append(r.bucket)
     assert got == {i: ix.buckets(x) for i, x in enumerate(v)}
+
+
+def test_questions_in_blocks_give_the_same(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    run = lambda **kw: sorted(tuple(r) for r in retrieval.top_k_of_each(e, q, 3, key="vec_id", **kw).collect())
+    assert run() == run(block=2, salts=3) and len(run()) == 3 * q.count()
