@@ -49,6 +49,12 @@ def judge_scores(reply: Column) -> Column:
     )
 
 
+def questions_in(reply: Column) -> Column:
+    """Array of the questions in the first brackets of a reply; empty if there are none."""
+    found = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\[.*?\]", 0), F.lit("")), "array<string>")
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def score_cases(cases: DataFrame, key: str = "id") -> DataFrame:
     """The five nullable dimensions of each case, and overall_pass.
 

@@ -135,3 +135,9 @@ def numbered_citations(sources: DataFrame, by: str, rank: str = "rank") -> DataF
     label = X.citation_label(C("ticker"), C("form_type"), C("paper_id"), C("page_number"), C("section"), C("is_table"))
     df = sources.withColumn("_l", label).withColumn("_n", F.row_number().over(Window.partitionBy(by, "_l").orderBy(rank)))
     return df.select(by, rank, F.when(C("_n") > 1, F.concat("_l", F.lit(" ("), "_n", F.lit(")"))).otherwise(C("_l")).alias("label"))
+
+
+def compare(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
+    """Side by side: key, rank_a, rank_b and where the key stands (both, a only, b only)."""
+    j = a.select(key, C("rank").alias("rank_a")).join(b.select(key, C("rank").alias("rank_b")), key, "full_outer")
+    return j.withColumn("found_by", F.when(C("rank_a").isNull(), "b only").when(C("rank_b").isNull(), "a only").otherwise("both"))

@@ -79,3 +79,26 @@ def sampled_positions(chunks: DataFrame, document: str, order: str, first: int =
     df = chunks.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).where(C("_i") < first).withColumn("_n", F.count(F.lit(1)).over(w))
     third = F.floor(C("_n") / 3)
     return df.where((C("_i") == 0) | (C("_i") == third) | (C("_i") == F.floor(2 * C("_n") / 3))).drop("_i", "_n")
+
+
+def filtered(results: DataFrame, *, outcome: str | None = None, category: str | None = None, dimension: str | None = None, text: str | None = None, flag: str = "passed", in_text: str = "question") -> DataFrame:
+    """Results of an outcome (pass, fail), a category, with a known dimension, or with a text in the question, whatever its case."""
+    df = results
+    if outcome:
+        df = df.where(C(flag) if outcome == "pass" else ~F.coalesce(C(flag), F.lit(False)))
+    if category:
+        df = df.where(C("category") == category)
+    if dimension:
+        df = df.where(C(dimension).isNotNull())
+    if text:
+        df = df.where(F.contains(F.lower(in_text), F.lit(text.lower())))
+    return df
+
+
+def in_first_appearance(results: DataFrame, category: str, position: str) -> DataFrame:
+    """Categories in the order in which they first appear."""
+    return results.groupBy(category).agg(F.min(position).alias("first_at")).orderBy("first_at", category)
+
+
+def weakest_first(results: DataFrame, category: str, flag: str = "passed") -> DataFrame:
+    return pass_rates(results, category, flag=flag).orderBy("accuracy", category)

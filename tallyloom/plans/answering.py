@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import charts
 from tallyloom.functions import text as X
 from tallyloom.operators import facts, retrieval, routing
+from tallyloom.session import materialize
 
 C = F.col
 #: Gives (query_id, answer) for (query_id, prompt); no model is shipped.
@@ -41,6 +42,22 @@ def prompts(route: DataFrame, blocks: DataFrame, hits: DataFrame | None = None)
     return r.select("query_id", F.concat_ws("\n\n", "block", F.concat(F.lit("Context:\n"), "context"), F.concat(F.lit("Question: "), "question")).alias("prompt"))
 
 
+def answered(asked: DataFrame, models: list[Model]) -> DataFrame:
+    """query_id, answer, model_no of the first model with an answer that isn't blank; prompts that none answers get null.
+
+    Each model only sees what the earlier ones left. Its answers are written
+    before the next one runs, so no model is called twice for a prompt.
+    """
+    left, out = asked.select("query_id", "prompt"), None
+    for n, model in enumerate(models, 1):
+        got = model(left).where(F.trim(F.coalesce("answer", F.lit(""))) != "").select("query_id", "answer", F.lit(n).alias("model_no"))
+        got = materialize(got, "answers")
+        out = got if out is None else out.unionByName(got)
+        left = left.join(got.select("query_id"), "query_id", "left_anti")
+    rest = left.select("query_id", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("int").alias("model_no"))
+    return rest if out is None else out.unionByName(rest)
+
+
 def finished(answers: DataFrame, periods_of: DataFrame) -> DataFrame:
     """query_id, text, chart, chart_grounded from (query_id, ticker, answer); periods_of: ticker, fiscal_period."""
     known = periods_of.groupBy("ticker").agg(F.collect_set("fiscal_period").alias("_p"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tallyloom import schemas
 from tallyloom.functions import hooks
 from tallyloom.functions import text as X
-from tallyloom.operators import ann, evaluation, lexical, retrieval
+from tallyloom.operators import ann, evaluation, lexical, retrieval, scoring
+from tallyloom.plans import answering
 from tallyloom.session import read_table
 from tallyloom.sources.storage import ChunkStore
 
@@ -97,3 +98,24 @@ def test_questions_in_blocks_give_the_same(spark, sf):
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     run = lambda **kw: sorted(tuple(r) for r in retrieval.top_k_of_each(e, q, 3, key="vec_id", **kw).collect())
     assert run() == run(block=2, salts=3) and len(run()) == 3 * q.count()
+
+
+def test_models_answer_in_turn(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id int, prompt string")
+    first = lambda df: df.select("query_id", F.when(F.col("query_id") == 1, "one").when(F.col("query_id") == 2, " ").alias("answer"))
+    second = lambda df: df.where("query_id = 2").select("query_id", F.lit("two").alias("answer"))
+    assert sorted(tuple(r) for r in answering.answered(asked, [first, second]).collect()) == [(1, "one", 1), (2, "two", 2), (3, None, None)]
+    assert {r.answer for r in answering.answered(asked, []).collect()} == {None}
+
+
+def test_result_filters_and_comparisons(spark):
+    r = spark.createDataFrame([(1, "x", True, None, "What Sales?"), (2, "y", False, True, "cost"), (3, "x", None, False, None)], "pos int, category string, passed boolean, dim boolean, question string")
+    ids = lambda **kw: [x.pos for x in scoring.filtered(r, **kw).orderBy("pos").collect()]
+    assert (ids(outcome="pass"), ids(outcome="fail"), ids(category="x"), ids(dimension="dim"), ids(text="SALES")) == ([1], [2, 3], [1, 3], [2, 3], [1])
+    assert [x.category for x in scoring.in_first_appearance(r, "category", "pos").collect()] == ["x", "y"]
+    assert [x.category for x in scoring.weakest_first(r, "category").collect()] == ["y", "x"]
+    a = spark.createDataFrame([("p", 1), ("q", 2)], "id string, rank int")
+    b = spark.createDataFrame([("q", 1), ("z", 2)], "id string, rank int")
+    assert {(x.id, x.found_by) for x in retrieval.compare(a, b).collect()} == {("p", "a only"), ("q", "both"), ("z", "b only")}
+    got = spark.createDataFrame([('Sure: ["a?", "b?"] ok',), ("none",), (None,)], "t string").select(evaluation.questions_in(F.col("t"))).collect()
+    assert [x[0] for x in got] == [["a?", "b?"], [], []]
