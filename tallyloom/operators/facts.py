@@ -96,7 +96,8 @@ def latest_and_prior(best: DataFrame) -> DataFrame:
 
 def wide(best: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per ticker and label with a column for each field."""
-    return best.groupBy("ticker", "fiscal_period").pivot("canonical_field", list(fields)).agg(F.first("value"))
+    cell = lambda f: F.max(F.when(C("canonical_field") == f, C("value"))).alias(f)
+    return best.where(C("canonical_field").isin(*fields)).groupBy("ticker", "fiscal_period").agg(*[cell(f) for f in fields])
 
 
 def margins(best: DataFrame) -> DataFrame:
