@@ -25,6 +25,8 @@ from tallyloom.session import materialize
 MIN_PAPERS = 5
 MIN_SHARE = 0.2
 CAPACITY = 256
+#: Counters that a task holds over all tickers before it hands its summaries on and starts anew.
+HELD_COUNTERS = 300_000
 BROADCAST_ROWS = 200_000
 
 
@@ -39,39 +41,42 @@ def ticker_of(c: Column) -> Column:
     return F.when(t != "", t)
 
 
-def _summaries(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
+def _summaries(batches: Iterator[pd.DataFrame], capacity: int, most: int) -> Iterator[pd.DataFrame]:
     counts: dict[str, dict] = {}
     pruned: dict[str, int] = {}
 
     def prune(t: str) -> None:
         own = counts[t]
-        if len(own) <= capacity:
-            return
-        cut = sorted(own.values(), reverse=True)[capacity]
-        pruned[t] = pruned.get(t, 0) + cut
-        counts[t] = {k: n - cut for k, n in own.items() if n > cut}
-
+        if len(own) > capacity:
+            cut = sorted(own.values(), reverse=True)[capacity]
+            pruned[t] = pruned.get(t, 0) + cut
+            counts[t] = {k: n - cut for k, n in own.items() if n > cut}
+
+    def handed_on() -> Iterator[pd.DataFrame]:
+        for t in list(counts):
+            prune(t)
+        rows = [(t, k1, k2, n, 0) for t, own in counts.items() for (k1, k2), n in own.items()] + [(t, 0, 0, 0, n) for t, n in pruned.items() if n]
+        counts.clear()
+        pruned.clear()
+        for k in range(0, len(rows), 50_000):
+            yield pd.DataFrame(rows[k : k + 50_000], columns=["ticker", "k1", "k2", "n", "pruned"])
+
+    held = 0
     for b in batches:
         for (t, k1, k2), n in b.groupby(["ticker", "k1", "k2"], sort=False).size().items():
             own = counts.setdefault(t, {})
+            before = len(own)
             own[k1, k2] = own.get((k1, k2), 0) + n
             if len(own) > 2 * capacity:
                 prune(t)
-    for t in list(counts):
-        prune(t)
-    columns = ["ticker", "k1", "k2", "n", "pruned"]
-    out: list[tuple] = []
-    for t, own in counts.items():
-        out += [(t, k1, k2, n, 0) for (k1, k2), n in own.items()]
-        if pruned.get(t):
-            out.append((t, 0, 0, 0, pruned[t]))
-        if len(out) > 50_000:
-            yield pd.DataFrame(out, columns=columns)
-            out = []
-    yield pd.DataFrame(out, columns=columns).astype({"k1": "int64", "k2": "int64", "n": "int64", "pruned": "int64"})
-
-
-def repeated_lines(chunks: DataFrame, *, min_papers: int = MIN_PAPERS, min_share: float = MIN_SHARE, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+            held += len(counts[t]) - before
+        if held > most:  # summaries add up, so a task may give several
+            yield from handed_on()
+            held = 0
+    yield from handed_on()
+
+
+def repeated_lines(chunks: DataFrame, *, min_papers: int = MIN_PAPERS, min_share: float = MIN_SHARE, capacity: int = CAPACITY, held: int = HELD_COUNTERS) -> tuple[DataFrame, DataFrame]:
     """Lines (id, line_no, ticker, k1, k2) and the confirmed (ticker, k1, k2, papers).
 
     chunks: id, paper_id, ticker, content, is_table; further columns are
@@ -88,7 +93,7 @@ def repeated_lines(chunks: DataFrame, *, min_papers: int = MIN_PAPERS, min_share
     lines = lines.select("id", "paper_id", "ticker", (F.col("pos") + 1).alias("line_no"), text.alias("text")).where("text <> ''")
     lines = lines.select("id", "paper_id", "ticker", "line_no", F.xxhash64("text").alias("k1"), F.hash("text").cast("long").alias("k2"))
     lines = materialize(lines, "p3-lines")
-    local = lines.select("ticker", "k1", "k2").mapInPandas(partial(_summaries, capacity=capacity), "ticker string, k1 long, k2 long, n long, pruned long")
+    local = lines.select("ticker", "k1", "k2").mapInPandas(partial(_summaries, capacity=capacity, most=held), "ticker string, k1 long, k2 long, n long, pruned long")
     merged = local.groupBy("ticker", "k1", "k2").agg(F.sum("n").alias("n"), F.sum("pruned").alias("pruned"))
     merged = materialize(merged, "p3-summaries")
     lost = merged.groupBy("ticker").agg(F.sum("pruned").alias("lost"))

@@ -149,8 +149,8 @@ def test_p3_matches_brute_force(spark):
     want = {x for k, v in on.items() if len(v) >= 5 and 5 * len(v) >= len(papers[k[0]]) for x in where[k]}
     assert want
     df = chunks(spark, rows, extra=True).repartition(5)
-    for capacity in (256, 2):  # too small a summary yields more candidates, never other results
-        got = [tuple(r) for r in site_lines.found_lines(df, capacity=capacity).collect()]
+    for how in ({}, {"capacity": 2}, {"held": 1}):  # too small a summary yields more candidates, never other results
+        got = [tuple(r) for r in site_lines.found_lines(df, **how).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     text = {i: c for i, _, _, _, c in rows}
     for r in site_lines.without_lines(df).collect():
