@@ -206,12 +206,14 @@ def natural_key_duplicates(s, d):
 
 
 @query(
-    f"""WITH o AS (SELECT * FROM financial_facts WHERE fact_id % 2 = 0), n AS (SELECT * FROM financial_facts WHERE fact_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY fact_id) = 1)
+    f"""WITH o AS (SELECT ff.* FROM financial_facts ff JOIN filings USING (filing_id) WHERE form_type LIKE '10-K%'), n AS (SELECT * FROM financial_facts QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY fact_id) = 1)
     SELECT n.fact_id, n.filing_id, n.tag, n.value FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE {' AND '.join(f'n.{k} IS NOT DISTINCT FROM o.{k}' for k in facts.NATURAL_KEY)})"""
 )
 def insert_ignore(s, d):
+    """All facts are loaded again where those of annual filings are already stored."""
     f = read_table(s, d, "financial_facts")
-    return facts.insert_ignore(f.where("fact_id % 2 = 0"), f.where("fact_id % 3 = 0")).select("fact_id", "filing_id", "tag", "value")
+    annual = read_table(s, d, "filings").where(C("form_type").startswith("10-K")).select("filing_id")
+    return facts.insert_ignore(f.join(annual, "filing_id", "left_semi"), f).select("fact_id", "filing_id", "tag", "value")
 
 
 @query("SELECT ff.fact_id, ff.filing_id FROM financial_facts ff WHERE filing_id IN (SELECT filing_id FROM filings WHERE user_id IS NULL OR user_id = (SELECT min(user_id) FROM filings))")
@@ -371,16 +373,18 @@ def filename_metadata(s, d):
 
 
 @query(
-    """WITH o AS (SELECT id, any_value(ticker) AS ticker, any_value(word_count) AS word_count, any_value(section) AS section FROM (SELECT DISTINCT id, ticker, word_count, section FROM chunks) GROUP BY id HAVING count(*) = 1),
-    a AS (SELECT * FROM o WHERE hash(1) IS NOT NULL AND ascii(right(id, 1)) % 2 = 0), n AS (SELECT id, 'NEW' AS ticker, word_count + 1 AS word_count, 'new ' || section AS section FROM o WHERE ascii(right(id, 1)) % 3 = 0)
+    """WITH o AS (SELECT id, any_value(ticker) AS ticker, any_value(word_count) AS word_count, any_value(section) AS section, any_value(is_table) AS is_table, any_value(page_number) AS page FROM (SELECT DISTINCT id, ticker, word_count, section, is_table, page_number FROM chunks) GROUP BY id HAVING count(*) = 1),
+    a AS (SELECT * FROM o WHERE NOT is_table), n AS (SELECT id, 'NEW' AS ticker, word_count + 1 AS word_count, 'new ' || section AS section FROM o WHERE page IS NOT NULL)
     SELECT coalesce(a.id, n.id) AS id, CASE WHEN a.id IS NULL THEN n.ticker ELSE a.ticker END AS ticker, CASE WHEN n.id IS NULL THEN a.word_count ELSE n.word_count END AS word_count, CASE WHEN n.id IS NULL THEN a.section ELSE n.section END AS section FROM a FULL JOIN n ON a.id = n.id"""
 )
 def upsert_chunks(s, d):
-    o = read_table(s, d, "chunks").select("id", "ticker", "word_count", "section").distinct()
-    one = o.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in ("ticker", "word_count", "section")]).where("n = 1").drop("n")
-    digit = F.ascii(F.substring("id", -1, 1))
-    new = one.where(digit % 3 == 0).select("id", F.lit("NEW").alias("ticker"), (C("word_count") + 1).alias("word_count"), F.concat(F.lit("new "), "section").alias("section"))
-    return chunking.upsert(one.where(digit % 2 == 0), new)
+    """Stored texts meet a new delivery of all chunks with a page: texts among them are updated, tables are added."""
+    columns = ("ticker", "word_count", "section", "is_table", "page_number")
+    o = read_table(s, d, "chunks").select("id", *columns).distinct()
+    one = o.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in columns]).where("n = 1")
+    old = one.where("not is_table").select("id", "ticker", "word_count", "section")
+    new = one.where("page_number is not null").select("id", F.lit("NEW").alias("ticker"), (C("word_count") + 1).alias("word_count"), F.concat(F.lit("new "), "section").alias("section"))
+    return chunking.upsert(old, new)
 
 
 @query(

@@ -72,13 +72,13 @@ def document_chunks(s, d):
     return ingest.document_chunks(docs).where("problem is null").groupBy(C("paper_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("SELECT company_id, form_type, fiscal_period FROM filings WHERE filing_id % 3 = 0 GROUP BY ALL EXCEPT SELECT company_id, form_type, fiscal_period FROM filings WHERE filing_id % 2 = 0")
+@query("SELECT DISTINCT company_id, form_type, fiscal_period FROM filings EXCEPT SELECT company_id, form_type, fiscal_period FROM filings WHERE source_url IS NULL")
 def get_or_create_filings(s, d):
-    """Filings (company, form, period) that a load would create, each once."""
+    """Filings (company, form, period) that a load of all would create where those without an address are stored."""
     f = read_table(s, d, "filings")
     key = ["company_id", "form_type", "fiscal_period"]
-    new = f.where("filing_id % 3 = 0").select(*key).distinct().alias("l")
-    return new.join(f.where("filing_id % 2 = 0").select(*key).distinct().alias("r"), facts.same_key(key), "left_anti")
+    stored = f.where("source_url is null").select(*key).distinct().alias("r")
+    return f.select(*key).distinct().alias("l").join(stored, facts.same_key(key), "left_anti")
 
 
 @query("WITH r AS (SELECT id, paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM (SELECT DISTINCT id, paper_id FROM chunks)), f AS (SELECT id, paper_id, i, count(*) OVER (PARTITION BY paper_id) AS n FROM r WHERE i < 200) SELECT id, paper_id FROM f WHERE i IN (0, n // 3, (2 * n) // 3)")

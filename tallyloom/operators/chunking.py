@@ -39,7 +39,7 @@ def first_of_hash(df: DataFrame, document: str, order: str, text: str) -> DataFr
 def running_lines(lines: DataFrame, document: str = "paper_id", page: str = "page_number", text: str = "line") -> DataFrame:
     """document, key, occurrences, pages of the short lines that repeat on several pages.
 
-    Lines without a page count by occurrence, as the reference's do.
+    Lines without a page count by occurrence.
     """
     short = lines.where((F.trim(text) != "") & (F.size(X.words_of(C(text))) <= BOILERPLATE_WORDS)).withColumn("key", X.header_key(C(text))).where("key <> ''")
     per_page = short.groupBy(document, "key", page).agg(F.count(F.lit(1)).alias("n"))
