@@ -69,11 +69,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_00
             start = stop
 
 
-def distinct_rows(df: DataFrame, *key: str) -> DataFrame:
-    """One row a key, rows without a key left out; for rows that were delivered twice."""
-    return df.where(F.col(key[0]).isNotNull()).dropDuplicates(list(key))
-
-
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a written table has at most `max_rows` rows: the check before any broadcast."""
     return df.limit(max_rows + 1).count() <= max_rows
