@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.catalogue import _BEST, _READER, _SIM, _best, _best_sql, _joined, _pairs, _vectors, query
+from tallyloom.catalogue import _BEST, _SIM, _best, _best_sql, _joined, _pairs, _vectors, query
 from tallyloom.functions import charts
 from tallyloom.functions import text as X
 from tallyloom.operators import ann, evaluation, facts, lexical, retrieval, scoring
