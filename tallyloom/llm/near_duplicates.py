@@ -1,15 +1,15 @@
 """Problem 1: groups of chunks that hold nearly the same content.
 
 Method: anchor-point covering. A content's fingerprint is, for each of
-`tables` tables, a word of three symbols over the integers modulo 2**64; the
+`tables` tables, a word of four symbols over the integers modulo 2**64; the
 symbols are minima of hashes over the content's sequences of three words, so
 two contents share a symbol with a probability equal to their similarity.
 The covering code of a table is the single-parity-check code: the words whose
 symbols add up to zero. Its covering radius is one, since changing any one
-symbol repairs the sum, and so every fingerprint has exactly three anchors
+symbol repairs the sum, and so every fingerprint has exactly four anchors
 within that radius. Replicating each fingerprint to them covers the threshold
-too: two fingerprints at distance one agree in two symbols, and the one
-codeword with these two symbols lies within radius one of both. (The code
+too: two fingerprints at distance one agree in three symbols, and the one
+codeword with these three symbols lies within radius one of both. (The code
 meets the Singleton bound, which is why the radius need not be widened by the
 threshold as for binary codes: the wider ball holds no further codeword that
 two fingerprints within the threshold need.)
@@ -17,12 +17,10 @@ two fingerprints within the threshold need.)
 Within an anchor, members are compared by a 128-bit signature of 32 symbols of
 four bits, and whatever passes is checked exactly on the texts.
 
-Phrases that a whole corpus shares say nothing about copies. A first pass
-counts all sequences in hashed cells; cells with at least `common` of the
-contents' number are left out of fingerprints (of fingerprints only: the exact
-check uses every sequence). The set of such cells is a bitmap of fixed size.
-A content that would lose most of its sequences, such as one of a very large
-group of copies, keeps them all.
+Every sequence counts, however many contents hold it: which ones tell copies
+apart can't be decided for one content alone, since in a large group of copies
+the sequences that make two of them alike are the common ones. Three symbols
+that must agree keep most contents apart that share stock phrases only.
 
 Contents with the same words form a class, represented once, so copies cost
 nothing per pair. An anchor with more than `block` classes is split into
@@ -46,17 +44,13 @@ from tallyloom.session import materialize
 
 SHINGLE = 3
 SIMILARITY = 0.5
-TABLES = 5
-SYMBOLS = 3
+#: At similarity 0.5, 0.6, 0.7 a pair shares an anchor with probability 0.966, 0.997, 0.9999.
+TABLES = 9
+SYMBOLS = 4
 #: Symbols of the signature, four bits each, and how many of them must agree before the texts are compared:
 #: at similarity 0.6 the mean is 20 with a deviation of 2.7, at 0.1 it is 5.
 SIGNATURE = 32
 LEAST_AGREEING = 11
-#: Sequences in a cell that holds this share of the contents' number or more are common.
-COMMON = 0.005
-CELL_BITS = 22
-#: A content with a smaller share of other sequences keeps the common ones.
-LEAST_KEPT = 0.3
 BLOCK = 2_000
 BROADCAST_ROWS = 200_000
 
@@ -104,39 +98,12 @@ def _hashed(batch: pa.RecordBatch, hashes: WordHashes, size: int) -> tuple[list[
     return lists, *_sequences(flat, lengths, size)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], size: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Cells with a quarter of `share` of the partition's contents or more, with their counts; cell -1 has the contents."""
-    counts, rows, hashes = np.zeros(1 << CELL_BITS, np.int64), 0, WordHashes()
-    for b in slices(batches, "content", 1_500_000):
-        _, seqs, n = _hashed(b, hashes, size)
-        rows += int((n > 0).sum())
-        counts += np.bincount((seqs >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-    heavy = np.flatnonzero(counts >= max(1, share * rows / 4))
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(heavy, -1)), pa.array(np.append(counts[heavy], rows))], names=["cell", "n"])
-
-
-def common_cells(rows: DataFrame, size: int, share: float) -> bytes:
-    """Bitmap of the cells of common sequences, of 2**CELL_BITS bits whatever the data.
-
-    A cell with `share` of all contents loses at most a quarter of it to the
-    partitions where it is rare, so three quarters are asked for.
-    """
-    cells = rows.select("content").mapInArrow(partial(_cells, size=size, share=share), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = materialize(cells, "p1-cells")
-    total = cells.where("cell = -1").agg(F.sum("n")).first()[0] or 0
-    mask = np.zeros(1 << CELL_BITS, bool)
-    heavy = cells.where((F.col("cell") >= 0) & (F.col("n") >= max(2, 0.75 * share * total))).select("cell").collect()  # at most sequences a content / share
-    mask[[r.cell for r in heavy]] = True
-    return np.packbits(mask).tobytes()
-
-
-def _features(batches: Iterator[pa.RecordBatch], tables: int, size: int, common: bytes) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], tables: int, size: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(20250101)
     n_sym, n_all = tables * SYMBOLS, max(tables * SYMBOLS, SIGNATURE)
     mult = rng.integers(0, 1 << 63, n_all, dtype=np.int64).astype(U64) * U64(2) + U64(1)
     offs = rng.integers(0, 1 << 63, n_all, dtype=np.int64).astype(U64) * U64(2)
     place = U64(4) * np.arange(16, dtype=U64)
-    is_common = np.unpackbits(np.frombuffer(common, np.uint8)).view(bool)
     hashes = WordHashes()
     for b in slices(batches, "content", 1_500_000):
         lists, seqs, counts = _hashed(b, hashes, size)
@@ -148,11 +115,7 @@ def _features(batches: Iterator[pa.RecordBatch], tables: int, size: int, common:
         if k:
             own = counts[has]
             starts = np.concatenate(([0], np.cumsum(own)[:-1]))
-            rare = ~is_common[(seqs >> U64(64 - CELL_BITS)).astype(np.int64)]
-            few = np.add.reduceat(rare, starts, dtype=np.int64) < LEAST_KEPT * own
-            rare |= np.repeat(few, own)
-            kept = np.add.reduceat(rare, starts, dtype=np.int64)
-            mins = _minima(seqs[rare], np.concatenate(([0], np.cumsum(kept)[:-1])), mult, offs)
+            mins = _minima(seqs, starts, mult, offs)
             bits = mix(mins[:, :SIGNATURE]) & U64(15)
             sigs[has, 0] = (bits[:, :16] << place).sum(axis=1, dtype=U64).view(np.int64)
             sigs[has, 1] = (bits[:, 16:] << place).sum(axis=1, dtype=U64).view(np.int64)
@@ -186,7 +149,7 @@ def _exact(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> I
         yield b.filter(pa.array(keep, pa.bool_())).select(["a1", "a2", "b1", "b2"])
 
 
-def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, common: float = COMMON, agreeing: int = LEAST_AGREEING, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, agreeing: int = LEAST_AGREEING, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Members (id, c1, c2) and the links (a1, a2, b1, b2) between classes of equal word sequences.
 
     chunks: id string, content string; further columns are ignored. Rows
@@ -195,8 +158,7 @@ def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: floa
     no link; they are members of the class of their (possibly empty) words.
     """
     rows = chunks.select("id", "content").where(F.col("id").isNotNull())
-    cells = common_cells(rows, size, common)
-    feats = rows.mapInArrow(partial(_features, tables=tables, size=size, common=cells), "id string, c1 long, c2 long, s1 long, s2 long, anchors array<long>")
+    feats = rows.mapInArrow(partial(_features, tables=tables, size=size), "id string, c1 long, c2 long, s1 long, s2 long, anchors array<long>")
     feats = materialize(feats, "p1-features")
     classes = feats.where(F.size("anchors") > 0).groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.any_value("s1").alias("s1"), F.any_value("s2").alias("s2"), F.any_value("anchors").alias("anchors"))
     at = classes.select("c1", "c2", "s1", "s2", F.explode("anchors").alias("anchor"))

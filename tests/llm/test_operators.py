@@ -80,6 +80,27 @@ def test_p1_large_group_of_near_copies(spark):
     assert got == near_pairs(rows)
 
 
+def test_p1_hot_group_with_insertions(spark):
+    """A third of all rows are one text with inserted runs: base and copies have other shares of common sequences, and are found all the same."""
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(2_000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    hot = draw(120)
+    rows = []
+    for k in range(150):
+        at, n = rng.randrange(20, 100), 0 if k < 10 else rng.randrange(40, 100)
+        rows.append((f"h{k:03}", " ".join(hot[:at] + ([f"edit{k}"] if n == 0 else draw(n)) + hot[at:])))
+    rows += [(f"r{k}", " ".join(draw(120))) for k in range(300)]
+    g = {i: grams(c) for i, c in rows}
+    alike = {(a, b): len(g[a] & g[b]) / len(g[a] | g[b]) for a, b in near_pairs(rows)}
+    base = {p for p in alike if (p[0] < "h010") != (p[1] < "h010") and alike[p] < 0.7}
+    df = chunks(spark, [(i, "p", "t", "pdf", c) for i, c in rows])
+    got = {tuple(r) for r in near_duplicates.similar_pairs(df).collect()}
+    assert got <= set(alike) and len(base) > 500
+    assert len(got & base) >= 0.95 * len(base)
+    assert len(got) >= 0.95 * len(alike)
+
+
 def test_p1_anchor_code():
     """Fingerprints that agree in two of three symbols share an anchor; others don't."""
     import numpy as np
