@@ -3,9 +3,11 @@
 Method: each partition of the lines keeps, per ticker, a Misra-Gries summary
 of `capacity` counters (line -> count, and the weight it has pruned). The
 summaries merge by adding counts and pruned weights, so a line whose merged
-count plus the ticker's pruned weight reaches the threshold is a candidate and
-no line above the threshold can be missed, whatever the capacity. A second
-pass counts the distinct papers of the candidates exactly. The confirmed
+count plus the ticker's pruned weight reaches the threshold is a candidate.
+That misses no line as long as the pruned weight is below the threshold; the
+lines of tickers where it isn't are all counted, by a partially aggregated
+grouping. A second pass counts the distinct papers of the candidates exactly.
+The confirmed
 lines, at most papers' mean number of lines divided by `share` per ticker, are
 removed as sets that are broadcast if their counted size allows it.
 """
@@ -98,7 +100,12 @@ def repeated_lines(chunks: DataFrame, *, min_papers: int = MIN_PAPERS, min_share
     merged = materialize(merged, "p3-summaries")
     lost = merged.groupBy("ticker").agg(F.sum("pruned").alias("lost"))
     bar = maybe_broadcast(papers.join(lost, "ticker", "left").select("ticker", "need", F.coalesce("lost", F.lit(0)).alias("lost")), BROADCAST_ROWS)
-    candidates = merged.where("n > 0").join(bar, "ticker").where("n + lost >= need").select("ticker", "k1", "k2", "need")
+    candidates = merged.where("n > 0").join(bar, "ticker").where("lost < need and n + lost >= need").select("ticker", "k1", "k2", "need")
+    # where so much was pruned, a line over the threshold may have no counter left: all lines of these tickers are counted
+    over = bar.where("lost >= need").select("ticker", "need")
+    if not over.isEmpty():
+        counted = lines.join(maybe_broadcast(over, BROADCAST_ROWS), "ticker").groupBy("ticker", "k1", "k2", "need").agg(F.count(F.lit(1)).alias("n"))
+        candidates = candidates.union(counted.where("n >= need").select("ticker", "k1", "k2", "need"))
     candidates = materialize(candidates, "p3-candidates")
     hits = lines.join(maybe_broadcast(candidates, BROADCAST_ROWS), ["ticker", "k1", "k2"])
     exact = hits.groupBy("ticker", "k1", "k2", "need", "paper_id").agg(F.lit(1).alias("one")).groupBy("ticker", "k1", "k2", "need").agg(F.count("paper_id").alias("papers"))

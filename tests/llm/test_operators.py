@@ -181,6 +181,22 @@ def test_p3_matches_brute_force(spark):
     assert site_lines.found_lines(df.limit(0)).count() == 0
 
 
+def test_p3_many_lines_a_paper(spark):
+    """400 lines a paper: the weight that the summaries prune passes the threshold, and every repeated line is found all the same."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    site = [f"site line {c}" for c in "abcdefghij"]
+    on = {x: set(rng.sample(range(400), 100)) for x in site}
+    for k in range(400):
+        lines = ["".join(rng.choices("klmnopqrstuvw", k=12)) for _ in range(390)] + [x for x in site if k in on[x]]
+        rng.shuffle(lines)
+        want |= {(f"i{k}", n) for n, x in enumerate(lines, 1) if x in on}
+        rows.append((f"i{k}", f"p{k}", "abc", "pdf", "\n".join(lines)))
+    df = chunks(spark, rows).repartition(12)
+    got = [tuple(r) for r in site_lines.found_lines(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_p4_round_trip(spark):
     rng = random.Random(2)
     limits = spark.createDataFrame([("pdf", "words", 30, 5), ("other", "words", 20, 0), ("container", "tokens", 64, 0)], "item_kind string, size_unit string, max_size int, overlap_size int")
