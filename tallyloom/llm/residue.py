@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,12 +106,57 @@ _WORD = re.compile(r"[^\W_]+")
 
 #: A slot starts with one of these; the pattern is tried nowhere else.
 _TRIGGER = re.compile(r"[{\[<«&$#@_%(X€£]")
-#: One of these stands in every line that the pattern beside it matches, so other lines need no search.
-_FILLER_MARKS = ("lorem", "body ", "heading one", " here", "in this ", "dummy", "placeholder", "filler", "sample", "layout", "final", "real ", "blindtext", "hier ", "platzhalter", "relleno", "remplissage", "fictif", "bidon", "faux", "ici ", "aquí", "coming soon")
-_LATIN_MARKS = ("dolor", "ipsum", "lorem", "velit", "cillum", "nulla", "sint ", "aliqu", "magna", "labor", "amet", "elit", "veniam", "mollit", "nisi", "irur", "culpa", "anim ", "fugiat", "tempor", "conse", "quis", "officia", "ullam", "aute ", "duis", "commod", "nostr", "ident", "paria", "cupida")
-_SCRIPT_MARKS = ("script", "skript", "js ", "only when it is on")
-_ERROR_MARKS = tuple("not found|missing|could not|cannot be|exist|moved|gone|forbidden|denied|permission|unavailable|maintenance|gateway|bad request|unauthori|time|upstream|server|wrong|oops|looked every|database|failed|relation |exception|null|stack|trace|file |error|nosuch|checksum|too many|limit|suspended|blocked|connection|expired|sign in|not available|later|try again|status|dumped|fault|memory|dns|certificate|http|code|fehler|erreur|código|codigo|gefunden|existiert|geladen|geöffnet|verfügbar|erreichbar|verweigert|wartung|introuvable|indisponible|accès|pas pu|encontrad|disponible|denegado|podido|pudo|trovat".split("|"))
 _STATUS = re.compile(r"\b[45]\d\d\b")
+_CODES = [(_parser.LITERAL, ord("4")), (_parser.LITERAL, ord("5"))]
+#: Letters that patterns without case take for others, though lower case keeps them.
+_FOLD = str.maketrans({"ı": "i", "ſ": "s", "\u0307": None})
+
+
+def _required(items) -> set[str] | None:
+    """Literals one of which stands in whatever the parsed pattern matches, as long ones as there are; None if there is none."""
+    options, run = [], ""
+    for op, arg in [*items, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            options.append({run})
+            run = ""
+        if op is _parser.SUBPATTERN:
+            options.append(_required(arg[3]))
+        elif op is _parser.BRANCH:
+            each = [_required(b) for b in arg[1]]
+            options.append(set().union(*each) if all(each) else None)
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+            options.append(_required(arg[2]))
+    return max(filter(None, options), key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+
+def branches(pattern: re.Pattern) -> list:
+    """The alternatives of a pattern, parsed."""
+    parsed = _parser.parse(pattern.pattern, pattern.flags & re.I)
+    return parsed[0][1][1] if len(parsed) == 1 and parsed[0][0] is _parser.BRANCH else [parsed]
+
+
+def marks(pattern: re.Pattern) -> tuple[str, ...]:
+    """Literals one of which stands in every line, in lower case, that the pattern matches, so other lines need no search.
+
+    A branch without a literal of three letters is left out if a status code
+    is all it asks for; that is looked for separately.
+    """
+    found: set[str] = set()
+    for b in branches(pattern):
+        own = _required(b)
+        if not own or min(map(len, own)) < 3:
+            if not any(op is _parser.IN and arg == _CODES for op, arg in b):
+                raise ValueError(f"no mark for {b}")
+            continue
+        found |= own
+    return tuple(sorted(m for m in found if not any(o in m for o in found if o != m)))
+
+
+_LATIN_MARKS = ("dolor", "ipsum", "lorem", "velit", "cillum", "nulla", "sint ", "aliqu", "magna", "labor", "amet", "elit", "veniam", "mollit", "nisi", "irur", "culpa", "anim ", "fugiat", "tempor", "conse", "quis", "officia", "ullam", "aute ", "duis", "commod", "nostr", "ident", "paria", "cupida")
+_FILLER_MARKS, _SCRIPT_MARKS, _ERROR_MARKS = marks(_FILLER), marks(_SCRIPT), marks(_ERROR)
 _MONEY = re.compile(r"[$€£]\s?\d")
 
 
@@ -128,7 +174,7 @@ def has_slot(text: str) -> bool:
 
 def classify(line: str) -> str:
     """filler, script_notice, error_page, menu, title or text, for one line (or template)."""
-    low = line.lower()
+    low = line.lower() if line.isascii() else line.lower().translate(_FOLD)
     ws = _WORD.findall(low)
     if not ws:
         return "title"

@@ -360,6 +360,50 @@ def test_p8_kinds(text, kind):
     assert residue.kind_of(text, residue.TemplateTree()) == kind
 
 
+def samples(items, rng):
+    """A text that the parsed pattern may match."""
+    out = ""
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            pick = {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: {"CATEGORY_DIGIT": "3", "CATEGORY_WORD": "w", "CATEGORY_SPACE": " "}.get(str(v), "-")}
+            kind, v = rng.choice([x for x in arg if str(x[0]) != "NEGATE"])
+            out += pick[str(kind)](v)
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += " "
+        elif name == "SUBPATTERN":
+            out += samples(arg[3], rng)
+        elif name == "BRANCH":
+            out += samples(rng.choice(arg[1]), rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(samples(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif name == "ASSERT":
+            out += " " + samples(arg[1], rng)
+    return out
+
+
+@pytest.mark.parametrize("name", ["_FILLER", "_SCRIPT", "_ERROR"])
+def test_p8_marks_stand_in_all_that_the_patterns_match(name):
+    pattern, marks = getattr(residue, name), getattr(residue, f"{name}_MARKS")
+    rng = random.Random(1)
+    missed, without = set(), []
+    for b in re._parser.parse(pattern.pattern, re.I)[0][1][1]:
+        own = [t for t in (samples(b, rng) for _ in range(400)) if pattern.search(t)]
+        without += [] if own else [b]
+        missed |= {t for t in own if not any(m in t.lower() for m in marks) and not (name == "_ERROR" and residue._STATUS.search(t))}
+    assert not without and not missed
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("The page you requested is no longer available.", "error_page"), ("You do not have access to this filing.", "error_page"), ("This page can not be found.", "error_page"), ("Your text", "filler"), ("Net sales rose by 3%.\nYour text here", "filler"), ("PERMıSSION DENıED", "error_page")],
+)
+def test_p8_lines_that_had_no_mark(text, kind):
+    assert residue.kind_of(text, residue.TemplateTree()) == kind
+
+
 def test_p8_table(spark):
     d = spark.createDataFrame([(1, "404 Not Found"), (1, "404 Not Found"), (2, None), (3, "sales of the unit rose " * 20_000), (None, "404 Not Found"), (4, "fee of {{x}}")], "doc_id long, text string").withColumn("kind", F.lit("z"))
     assert sorted(tuple(r) for r in residue.kinds(d).collect()) == [(1, "error_page"), (4, "placeholder")]
