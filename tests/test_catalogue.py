@@ -3,12 +3,14 @@
 import datetime
 import decimal
 import math
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from tallyloom import catalogue
+from tallyloom.fixed import PII
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
@@ -45,6 +47,19 @@ def test_query(spark, sf, duck, name):
     assert sorted(key(r.asDict()) for r in rows) == sorted(key(dict(zip(names, r))) for r in got.fetchall())
 
 
+def test_redaction_counts_of_all_types(spark, tmp_path):
+    texts = ["SSN 123-45-6789, EIN 12-3456789", "routing 021000021", "card 4111 1111 1111 1111", "IBAN DE89370400440532013000", "a@b.co and c@d.org", "call (212) 555-0199 or +1 212-555-0100", "host 10.0.0.1", "passport C12345678", "Acct: 12-34567 8", "no case", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(-1, "documents", len(texts))}
+    for k, t in enumerate(texts):
+        for name, pattern, mark in PII:
+            t, n = re.subn(pattern, mark, t or "")
+            want |= {(k, name, n)} if n else set()
+    assert {name for _, name, _ in want} == {name for name, *_ in PII} | {"documents"}
+    rows = [tuple(r) for r in QUERIES["redaction_counts"](spark, str(tmp_path)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
