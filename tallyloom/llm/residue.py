@@ -42,20 +42,20 @@ _TAG = rf"(?!/?(?:{'|'.join(_TAGS.split())})\b)"
 _ENTITY = rf"(?!(?:{'|'.join(_ENTITIES.split())});)"
 _PLAIN = rf"(?!(?:{'|'.join(_NOT_SLOTS.split())})\b)"
 _NAME = r"[A-Za-z][A-Za-z0-9_]*(?:[ .][A-Za-z0-9_]+){0,3}"
-#: Slots of the usual template languages, fill-in notes, and blanks.
+#: Slots of the usual template languages, fill-in notes, and blanks; bounded by the line and their closing mark.
 SLOT = re.compile(
     "|".join(
         (
-            r"\{\{[^{}\n]{0,60}\}\}",
-            r"\{%[^{}\n]{1,60}%\}",
-            r"\[\[\s*[A-Za-z_][\w .]{0,40}\s*\]\]",
-            r"<%[^<>\n]{0,60}%>",
-            r"[$#]\{\s*[A-Za-z_][^{}\n]{0,60}\}",
-            r"\{![^{}\n]{1,60}\}",
+            r"\{\{[^{}\n]*\}\}",
+            r"\{%[^{}\n]+%\}",
+            r"\[\[\s*[A-Za-z_][\w .]*+\s*+\]\]",
+            r"<%[^<>\n]*%>",
+            r"[$#]\{\s*[A-Za-z_][^{}\n]*\}",
+            r"\{![^{}\n]+\}",
             r"\{\s*(?:\d{1,2}|[a-z]+(?:_[a-z]+)*)\s*\}",
             r"\{\s*[A-Z]+(?:_[A-Z]+)*\s*\}",
             rf"<<\s*{_NAME}\s*>>",
-            r"<(?i:enter|insert|your|fill in|add|type) [^<>\n]{1,40}>",
+            r"<(?i:enter|insert|your|fill in|add|type) [^<>\n]+>",
             rf"<(?i:{_TAG})[A-Z]{{3,}}(?:[_ ][A-Z]+)*>",
             rf"<(?i:{_TAG})[a-z]+(?:_[a-z]+)+>",
             r"(?<![\w%])%[A-Z]{2,}(?:_[A-Z]+)*%(?!\w)",
@@ -69,9 +69,9 @@ SLOT = re.compile(
             rf"&(?i:{_ENTITY})[A-Z]{{3,}}(?:_[A-Z]+)*;",
             r"\[\s*(?:[•●◦_…]|\*{2,}|\.{3,}|_{2,})\s*\]",
             r"\[\s?\]",
-            r"[\[(](?i:insert|enter|fill in|add|type|choose|select) [^\[\]()\n]{1,40}[\])]",
-            r"\[(?i:your|name of|date of|amount of) [^\[\]\n]{1,40}\]",
-            r"\[[^\[\]\n]{0,40}\b(?:TBC|TBD|TBA|here|to come|to be (?:completed|confirmed|inserted|provided))\]",
+            r"[\[(](?i:insert|enter|fill in|add|type|choose|select) [^\[\]()\n]+[\])]",
+            r"\[(?i:your|name of|date of|amount of) [^\[\]\n]+\]",
+            r"\[[^\[\]\n]*\b(?:TBC|TBD|TBA|here|to come|to be (?:completed|confirmed|inserted|provided))\]",
             rf"(?<![A-Z] )\[(?i:{_PLAIN})[A-Z]{{3,}}(?:[ _][A-Z]{{2,}}){{0,3}}\](?! [A-Z]{{2}})",
             r"(?<![\w.,])X{1,3}[.,]X{1,3}\s?%",
             r"(?<![\w.,])XX\s?%",

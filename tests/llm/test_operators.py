@@ -404,6 +404,19 @@ def test_p8_lines_that_had_no_mark(text, kind):
     assert residue.kind_of(text, residue.TemplateTree()) == kind
 
 
+LONG = "a short description of the principal risk factors and of what was done about them"
+
+
+@pytest.mark.parametrize(
+    "slot",
+    [f"[Insert {LONG} here]", f"(insert {LONG})", f"<Enter {LONG}>", f"[name of {LONG}]", f"[{LONG} to be confirmed]", "{{ company.profile.%s }}" % LONG.replace(" ", "_"), "{%% if %s %%}" % LONG, "<%%= %s %%>" % LONG, "${%s}" % LONG.replace(" ", "_"), "{!%s}" % LONG, f"[[ {LONG} ]]"],
+)
+def test_p8_long_slots(slot):
+    assert residue.kind_of(f"Sales rose in {slot} over the year.", residue.TemplateTree()) == "placeholder"
+    broken = slot.replace("description", "descrip\ntion")
+    assert residue.kind_of(f"Sales rose in {broken} over the year.", residue.TemplateTree()) is None
+
+
 def test_p8_table(spark):
     d = spark.createDataFrame([(1, "404 Not Found"), (1, "404 Not Found"), (2, None), (3, "sales of the unit rose " * 20_000), (None, "404 Not Found"), (4, "fee of {{x}}")], "doc_id long, text string").withColumn("kind", F.lit("z"))
     assert sorted(tuple(r) for r in residue.kinds(d).collect()) == [(1, "error_page"), (4, "placeholder")]
