@@ -1,11 +1,9 @@
 """Problem 8: template residue, filler, error pages and script notices.
 
-Method: lines are messages, and a prefix tree of fixed depth (number of tokens,
-then the first tokens) mines their templates: a line joins the template of its
-leaf with which it shares most tokens, and tokens that differ become wildcards.
-A template is classified when it is made or widened, once for all its lines,
-and the verdict goes to each line. Unresolved slots are looked for separately
-in every text, as they stand inside ordinary records.
+Method: lines are messages; a line's template is the line with wildcards for
+the numbers that decide nothing. A template is classified when it is first met,
+once for all its lines, and the verdict goes to each line. Unresolved slots are
+looked for separately in every text, as they stand inside ordinary records.
 
 An error page or a script notice is a record whose lines are all such
 messages, navigation or titles; one ordinary line makes it a document.
@@ -23,16 +21,13 @@ from pyspark.sql import DataFrame
 from tallyloom.llm._shared import slices, texts_of
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
-DEPTH = 2
-SIMILARITY = 0.6
-MAX_CHILDREN = 200
-#: A tree with more templates is started anew; its lines are then classified again, so nothing is lost.
-MAX_TEMPLATES = 100_000
-#: Lines that would make a leaf larger than this are classified one by one.
-MAX_LEAF = 40
+#: With more templates they are started anew; their lines are then classified again, so nothing is lost.
+MAX_TEMPLATES = 400_000
 #: Lines of more words are paragraphs, not messages: they can be documents or filler only.
 LONG_LINE = 40
 ANY = "<*>"
+#: Numbers that may be status codes: of three digits, or more of them.
+CODE, LONG_CODE = "<#>", "<##>"
 
 # Markup tags and entities, which are no slots.
 _TAGS = "a b i p u br hr h1 h2 h3 h4 h5 h6 ul ol li td th tr div pre sub sup span code font body head html meta link table thead tbody title script style noscript form input img em strong small center blockquote xbrl error key message resource section article header footer nav main sec document type sequence filename description text"
@@ -208,50 +203,38 @@ def _is_filler(line: str, low: str, ws: list[str]) -> bool:
     return len(ws[0]) >= 2 and len(set(ws[0])) == 1 and all(len(set(w)) == 1 and w.isalpha() and len(w) >= 2 for w in ws)
 
 
+def _masked(m: re.Match) -> str:
+    n = m.group()
+    return ANY if n[0] not in "45" or len(n) < 3 else CODE if len(n) == 3 else LONG_CODE
+
+
+def _numbers_decide(plain: str) -> bool:
+    """Whether words that differ in digits only, which may make a line filler, can't be told from equal ones in the masked line."""
+    if "qwer" in plain or "jkl" in plain:
+        return True
+    ws = _WORD.findall(plain.replace(ANY, "0").replace(CODE, "0").replace(LONG_CODE, "0")) if plain.count("<") >= 8 else ()
+    return len(ws) >= 8 and len(set(ws)) == 1
+
+
 class TemplateTree:
-    """Fixed-depth prefix tree of line templates, each with its verdict."""
+    """Templates of lines, in which numbers that decide nothing are wildcards, each with its verdict.
+
+    Wildcards for words are not made: they may hide what a verdict depends on.
+    """
 
     def __init__(self) -> None:
-        self.root: dict = {}
-        self.size = 0
         self.seen: dict[str, str] = {}
 
     def verdict(self, line: str) -> str:
-        plain = _DIGITS.sub(ANY, line.lower())
-        known = self.seen.get(plain)
-        if known is not None:
-            return known
-        if self.size > MAX_TEMPLATES or len(self.seen) > 4 * MAX_TEMPLATES:
-            self.root, self.size, self.seen = {}, 0, {}
-        tokens = plain.split()
-        node = self.root.setdefault(len(tokens), {})
-        for t in tokens[:DEPTH]:
-            key = t if t in node or len(node) < MAX_CHILDREN else ANY
-            node = node.setdefault(key, {})
-        leaf = node.setdefault("", [])
-        if len(leaf) >= MAX_LEAF:
+        plain = _DIGITS.sub(_masked, line.lower())
+        if _numbers_decide(plain):
             return classify(line)
-        best, near = None, -1
-        for entry in leaf:
-            same = sum(map(str.__eq__, entry[0], tokens))
-            if same > near:
-                best, near = entry, same
-        if best is None or near < SIMILARITY * len(tokens):
-            best = [tokens, classify(line)]
-            leaf.append(best)
-            self.size += 1
-        elif near < len(tokens):
-            merged = [a if a == b else ANY for a, b in zip(best[0], tokens)]
-            if merged != best[0]:  # widened: looked at again, with the line that widened it
-                own = classify(line)
-                if own != best[1]:  # the wildcard would hide what tells them apart: a template of its own
-                    best = [tokens, own]
-                    leaf.append(best)
-                    self.size += 1
-                else:
-                    best[0] = merged
-        self.seen[plain] = best[1]
-        return best[1]
+        known = self.seen.get(plain)
+        if known is None:
+            if len(self.seen) > MAX_TEMPLATES:
+                self.seen.clear()
+            known = self.seen[plain] = classify(line)
+        return known
 
 
 def units(text: str) -> Iterator[str]:

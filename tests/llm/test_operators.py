@@ -417,6 +417,20 @@ def test_p8_long_slots(slot):
     assert residue.kind_of(f"Sales rose in {broken} over the year.", residue.TemplateTree()) is None
 
 
+def test_p8_verdicts_do_not_depend_on_earlier_lines():
+    groups = [
+        ["Status: 200", "Status: 503"], ["charge of the year net (312)", "charge of the year net (412)"], ['{"status": 200}', '{"status": 4041}', '{"status": 404}'], ["Error 4045", "Error 404"],
+        ["1 1 1 1 1 1 1 1", "1 2 3 4 5 6 7 8"], ["qwer1 qwer1 jkl1 qwer1 qwer1 jkl1 qwer1 qwer1", "qwer1 qwer2 jkl3 qwer4 qwer5 jkl6 qwer7 qwer8"],
+        ["the new viewer of the firm gave alpha to all", "the new viewer of the firm gave beta to all", "the new viewer of the firm gave forbidden to all"],
+    ]
+    for g in groups:
+        want = [residue.classify(t) for t in g]
+        assert len(set(want)) > 1
+        for lines in (g, g[::-1]):
+            tree = residue.TemplateTree()
+            assert {t: tree.verdict(t) for t in lines} == dict(zip(g, want))
+
+
 def test_p8_table(spark):
     d = spark.createDataFrame([(1, "404 Not Found"), (1, "404 Not Found"), (2, None), (3, "sales of the unit rose " * 20_000), (None, "404 Not Found"), (4, "fee of {{x}}")], "doc_id long, text string").withColumn("kind", F.lit("z"))
     assert sorted(tuple(r) for r in residue.kinds(d).collect()) == [(1, "error_page"), (4, "placeholder")]
