@@ -11,7 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
@@ -59,3 +59,19 @@ class HyperplaneIndex:
         q = F.array(*[F.lit(float(x)) for x in vector])
         near = chunks.join(hits, key).select(key, numbers.cosine(C(column), q).alias("similarity"))
         return near.where("similarity is not null").orderBy(C("similarity").desc(), key).limit(k).withColumn("similarity", F.round("similarity", 4))
+
+    def search_each(self, index: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, key: str = "id", column: str = "embedding") -> DataFrame:
+        """query_id, key, similarity, rank: as `search`, for every question of a table (query_id, vector), by a join on buckets."""
+        kind = dict(questions.dtypes)["query_id"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for n in range(b.num_rows):
+                    buckets = pa.array(self.buckets(b.column(1)[n].as_py()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([n] * len(buckets))), buckets], names=["query_id", "bucket"])
+
+        q = questions.where("vector is not null").select("query_id", "vector")
+        hits = q.mapInArrow(run, f"query_id {kind}, bucket long").join(index, "bucket").select("query_id", key).distinct()
+        near = hits.join(chunks.select(key, column), key).join(q, "query_id").select("query_id", key, numbers.cosine(C(column), C("vector")).alias("similarity")).where("similarity is not null")
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(C("similarity").desc(), key)))
+        return ranked.where(C("rank") <= k).withColumn("similarity", F.round("similarity", 4))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom import schemas
+from tallyloom import catalogue, schemas
 from tallyloom.functions import hooks
 from tallyloom.functions import text as X
 from tallyloom.operators import ann, evaluation, lexical, retrieval, scoring
@@ -58,6 +58,24 @@ def test_recall_of_the_approximate_index(spark, sf):
     e.unpersist(), index.unpersist()
 
 
+def test_approximate_search_of_every_question(spark, sf):
+    e = read_table(spark, sf, "embeddings").cache()
+    ix = ann.HyperplaneIndex(64)
+    index = ix.build(e, "vec_id").cache()
+    asked = e.where("vec_id % 50 = 0").collect()
+    got, exact = {}, {}
+    for r in catalogue.queries()["approximate_topk"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.similarity))
+    for r in asked[:5]:
+        assert got[r.vec_id] == [(x.vec_id, x.similarity) for x in ix.search(index, e, r.embedding, 10, "vec_id").collect()]
+    assert set(got) == {r.vec_id for r in asked} and len(got) > 1
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    for r in retrieval.top_k_of_each(e, q, 10, key="vec_id").collect():
+        exact.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(exact[k] & {x for x, _ in v}) for k, v in got.items()) >= 0.9 * sum(map(len, exact.values()))
+    e.unpersist(), index.unpersist()
+
+
 def test_hooks(spark):
     df = spark.createDataFrame([("Nestlé ",), ("Ångström",), (None,)], "t string")
     r = df.select(hooks.fold(F.col("t")).alias("f"), hooks.known_company(F.col("t")).alias("k")).collect()
