@@ -107,6 +107,13 @@ def visible_answers(s, d):
     return r.select("result_id", X.visible_answer(C("model_answer")).isNotNull().alias("shown"), F.length("model_answer").cast("long").alias("chars"))
 
 
+@query(r"SELECT result_id, md5(v) AS visible, length(v) AS chars FROM (SELECT result_id, trim(regexp_replace(regexp_replace(model_answer, '```chart_data\s*\n?.*?```', '', 'gs'), '```chart_data.*$', '', 'gs'), ' ' || chr(9) || chr(10) || chr(13)) AS v FROM eval_results WHERE model_answer IS NOT NULL)")
+def visible_texts(s, d):
+    """What is left of each answer, as its md5 and length; `visible_answers` says only whether there is any."""
+    r = read_table(s, d, "eval_results").where("model_answer is not null").select("result_id", X.visible_answer(C("model_answer")).alias("v"))
+    return r.select("result_id", F.md5("v").alias("visible"), F.length("v").cast("long").alias("chars"))
+
+
 @query()
 def question_prompts(s, d):
     """Routing, abstention, facts block and prompt of every stored question."""

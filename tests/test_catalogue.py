@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import hashlib
 import math
 import re
 from pathlib import Path
@@ -60,6 +61,17 @@ def test_redaction_counts_of_all_types(spark, tmp_path):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_visible_texts_show_what_is_removed(spark, tmp_path):
+    answers = {1: "Up.\n```chart_data\n{1}\n```\nDone.", 2: "Up. ```chart_data {1", 3: "Plain. ", 4: "```chart_data\n{}```", 5: None}
+    want = {1: "Up.\n\nDone.", 2: "Up.", 3: "Plain.", 4: ""}
+    spark.createDataFrame(list(answers.items()), "result_id long, model_answer string").write.parquet(str(tmp_path / "eval_results.parquet"))
+    rows = {tuple(r) for r in QUERIES["visible_texts"](spark, str(tmp_path)).collect()}
+    assert rows == {(k, hashlib.md5(v.encode()).hexdigest(), len(v)) for k, v in want.items()}
+    c = duckdb.connect()
+    c.execute(f"create view eval_results as select * from '{tmp_path}/eval_results.parquet/*.parquet'")
+    assert set(c.execute(SQL["visible_texts"]).fetchall()) == rows
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
