@@ -457,3 +457,41 @@ def test_queries_match_their_sql(spark, sf):
         got = c.execute(sql)
         assert [d[0] for d in got.description] == df.columns, name
         assert sorted(tuple(r) for r in df.collect()) == sorted(got.fetchall()), name
+
+
+def mined_corpus():
+    """Texts, a message and stand-in copy that no rule knows, and one short text under several ids."""
+    rng = random.Random(8)
+    vocab = [f"v{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    sentence = lambda: "the " + " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 14))) + "."
+    rows, want = [], set()
+    for i in range(120):
+        rows.append((i, " ".join(sentence() for _ in range(rng.randint(3, 9)))))
+    for i in range(200, 212):
+        message = f"our gate let nobody through to {rng.choice(vocab)}{i} this morning."
+        rows.append((i, rng.choice([message, message.upper(), f"Home | Help\n\n{message}", f"{message} Menu\nContact"])))
+        want.add((i, "error_page"))
+    for i in range(300, 308):
+        copy = f"real prose about {rng.choice(vocab)} comes to this spot."
+        rows.append((i, f"{sentence()} {sentence()}\n\n" + " ".join([copy] * rng.choice([1, 3]))))
+        want.add((i, "filler"))
+    rows += [(400 + k, "the same short report stands under several ids.") for k in range(5)]
+    return rows, want
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_p8_mined_templates(spark, parts):
+    rows, want = mined_corpus()
+    random.Random(parts).shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {tuple(r) for r in residue.kinds(d).collect()}
+    assert got == want
+    mined = residue.mined_templates(residue.read_records(d)).collect()
+    assert sorted(r.kind for r in mined) == ["filler", "notice"]
+
+
+def test_p8_repeats():
+    assert residue.period_of("a b c a b c a".split()) == 3 and residue.period_of("a b c d a".split()) == 5
+    assert residue.period_of("f b z q f b z f b z q f b z".split()) == 4
+    assert residue.repeated_tail("x y a b c a b c".split()) == 6 and residue.repeated_tail("a b c d e f g c".split()) == 0
+    assert residue.repeated_tail(["a"] * 100_000) == 0 and residue.period_of(["a", "b"] * 100_000) == 2
