@@ -495,3 +495,37 @@ def test_p8_repeats():
     assert residue.period_of("f b z q f b z f b z q f b z".split()) == 4
     assert residue.repeated_tail("x y a b c a b c".split()) == 6 and residue.repeated_tail("a b c d e f g c".split()) == 0
     assert residue.repeated_tail(["a"] * 100_000) == 0 and residue.period_of(["a", "b"] * 100_000) == 2
+
+
+def test_p2_validated_cutoffs_and_defects():
+    """Each defect put into sound pairs is told by its votes; cutoffs lie between both."""
+    rng = random.Random(2)
+    model = answer_defects.LetterModel([])
+    pairs = [(f"What net income did Acme{k} Foods report for FY2020?", f"The net income of Acme{k} Foods came to ${rng.randint(1, 99)}.5 million in FY2020, which was due to higher volume.") for k in range(100)]
+    pairs += [(f"Wie hoch war der Umsatz von Acme{k} im Jahr 2020?", f"Laut Bericht lag der Umsatz von Acme{k} bei ${k}.5 million, und das war vor allem dem höheren Absatz zu verdanken.") for k in range(100)]
+    code = {1: "+", 0: "0", -1: "-"}
+    for d in answer_defects.DEFECTS:
+        k = len(answer_defects.PRIORS[d][0])
+        counts = {}
+        for q, a in pairs:
+            p = "".join(code[v] for v in answer_defects.votes(q, a, None, model)[d])
+            counts[p] = counts.get(p, 0) + 1
+        post = answer_defects.fit(counts, d)
+        assert len(post) == 3**k and all(post[p] < 0.3 for p in counts), d
+    posterior = {d: answer_defects.fit({}, d) for d in answer_defects.DEFECTS}
+    cuts = answer_defects.validated(pairs, posterior, model)
+    others = {"en": [a for _, a in pairs[:100]], "de": [a for _, a in pairs[100:]]}
+    assert all(0.3 <= c < 1 for c in cuts.values())
+    for d in answer_defects.DEFECTS:
+        for k, (q, a) in enumerate(pairs):
+            bad = answer_defects.with_defect(d, k, q, a, others)
+            v = "".join(code[x] for x in answer_defects.votes(q, bad, None, model)[d])
+            assert posterior[d][v] >= cuts[d], (d, bad)
+
+
+def test_p2_words_of_the_question_say_nothing_of_the_language():
+    model = answer_defects.LetterModel([])
+    v = answer_defects.votes("What diluted earnings per share did Acme report?", "| Item | Prior |\n| --- | --- |\n| Diluted earnings per share | $1.27 |", None, model)
+    assert v["language"] == (0, 0, 0)
+    v = answer_defects.votes("How large was the income tax charge of ZKC in FY2018?", "A empresa registou $5.6 million no período FY2018, conforme a nota 4.", None, model)
+    assert v["language"][0] == v["language"][2] == 1 or v["language"][2] == 1
