@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.fixed import DEFAULT_FIELDS, FOLD_FROM, FOLD_TO, GENERIC_NAME_WORDS, NAME_TICKERS, NUMERIC_INTENT, OUT_OF_SCOPE, PII, QUESTIONS, TAG_FIELDS
+from tallyloom.fixed import DEFAULT_FIELDS, DERIVED_SUFFIXES, FIELD_ALIASES, FOLD_FROM, FOLD_TO, GENERIC_NAME_WORDS, MAGNITUDES, NAME_TICKERS, NOISE_FLOOR, NUMERIC_INTENT, OUT_OF_SCOPE, PII, QUESTIONS, TAG_FIELDS, TOLERANCE, WINDOW_LINES
 from tallyloom.functions import numbers, periods
 from tallyloom.functions import text as X
 from tallyloom.operators import attribution, chunking, facts, retrieval, routing, scoring
@@ -38,7 +38,8 @@ def _list(words) -> str:
 
 
 def _pairs(d: dict) -> str:
-    return "MAP {" + ", ".join(f"'{k}': '" + str(v).replace("'", "''") + "'" for k, v in d.items()) + "}"
+    text = lambda x: "'" + str(x).replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in d.items()) + "}"
 
 
 # ---------------------------------------------------------------- facts
@@ -194,9 +195,9 @@ def parse_period_labels(s, d):
 _KEY = "filing_id, tag, unit, period_start, period_end"
 
 
-@query(f"SELECT fact_id, {_KEY}, value FROM financial_facts QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY fact_id) = 1")
+@query(f"SELECT fact_id, {_KEY}, CASE WHEN NOT isnan(value) THEN value END AS value FROM financial_facts QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY fact_id) = 1")
 def natural_key_dedupe(s, d):
-    return facts.keep_earliest(read_table(s, d, "financial_facts")).select("fact_id", *facts.NATURAL_KEY, "value")
+    return facts.keep_earliest(facts.landed(read_table(s, d, "financial_facts"))).select("fact_id", *facts.NATURAL_KEY, "value")
 
 
 @query(f"SELECT a.fact_id FROM financial_facts a WHERE EXISTS (SELECT 1 FROM financial_facts b WHERE a.fact_id > b.fact_id AND {' AND '.join(f'a.{k} IS NOT DISTINCT FROM b.{k}' for k in facts.NATURAL_KEY)})")
@@ -207,11 +208,11 @@ def natural_key_duplicates(s, d):
 
 @query(
     f"""WITH o AS (SELECT ff.* FROM financial_facts ff JOIN filings USING (filing_id) WHERE form_type LIKE '10-K%'), n AS (SELECT * FROM financial_facts QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY fact_id) = 1)
-    SELECT n.fact_id, n.filing_id, n.tag, n.value FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE {' AND '.join(f'n.{k} IS NOT DISTINCT FROM o.{k}' for k in facts.NATURAL_KEY)})"""
+    SELECT n.fact_id, n.filing_id, n.tag, CASE WHEN NOT isnan(n.value) THEN n.value END AS value FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE {' AND '.join(f'n.{k} IS NOT DISTINCT FROM o.{k}' for k in facts.NATURAL_KEY)})"""
 )
 def insert_ignore(s, d):
     """All facts are loaded again where those of annual filings are already stored."""
-    f = read_table(s, d, "financial_facts")
+    f = facts.landed(read_table(s, d, "financial_facts"))
     annual = read_table(s, d, "filings").where(C("form_type").startswith("10-K")).select("filing_id")
     return facts.insert_ignore(f.join(annual, "filing_id", "left_semi"), f).select("fact_id", "filing_id", "tag", "value")
 
@@ -535,7 +536,34 @@ def number_check(s, d):
     return r.select("result_id", F.size(v).alias("numbers"), F.round(F.array_max(v), 2).alias("largest"), F.round(attribution.unattributed(C("model_answer"), C("ground_truth_value")) * 100, 3).alias("best_error_pct"))
 
 
-@query()
+_ERR = "CASE WHEN truth <> 0 THEN abs({0} - truth) / abs(truth) ELSE abs({0}) END"
+_SCALE = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in MAGNITUDES.items())
+_BASES = {f + x: f for f in FIELD_ALIASES for x in DERIVED_SUFFIXES} | attribution.BASES
+
+
+def _quoted(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
+def _places_sql(source: str, text: str, pattern: str, keep: str) -> str:
+    """One row a match of a pattern: its number, start and end (from 0) and text."""
+    parts = f"SELECT {keep}, {text} AS pt, regexp_extract_all({text}, {_quoted(pattern)}, 0) AS pm, regexp_split_to_array({text}, {_quoted(pattern)}) AS pb FROM {source}"
+    each = f"SELECT {keep}, pm, pb, unnest(range(1, len(pm) + 1)) AS i FROM ({parts})"
+    return f"SELECT {keep}, i, pm[i] AS found, list_sum(list_transform(pb[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(pm[1:i - 1], lambda x: length(x))), 0) AS start_at FROM ({each})"
+
+
+@query(
+    f"""WITH a AS (SELECT result_id, {_FOLDED.replace('model_answer', "coalesce(model_answer, '')")} AS t, ground_truth_value AS truth, coalesce(({_pairs(_BASES)})[canonical_field], '') AS own, nullif(regexp_extract(fiscal_period, '[0-9]{{4}}', 0), '')::INT AS y FROM eval_results),
+    n AS (SELECT *, TRY_CAST(replace(regexp_extract(found, {_quoted(attribution.NUMBER)}, 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract(found, {_quoted(attribution.NUMBER)}, 2)) {_SCALE} ELSE 1.0 END AS v FROM ({_places_sql('a', 't', attribution.NUMBER, 'result_id, t, truth, own, y')})),
+    c AS (SELECT result_id, t, own, y, v, {_ERR.format('v')} AS err, start_at::INT AS pos, length(regexp_replace(substring(t, 1, start_at::INT), '[^\n]', '', 'g')) AS line FROM n WHERE v > {NOISE_FLOOR} AND {_ERR.format('v')} <= {TOLERANCE}),
+    w AS (SELECT *, greatest(line - {WINDOW_LINES}, 0) AS low FROM c), x AS (SELECT *, array_to_string(string_split(t, chr(10))[low + 1 : line + {WINDOW_LINES} + 1], chr(10)) AS win, pos - coalesce(list_sum(list_transform(string_split(t, chr(10))[1:low], lambda q: length(q))), 0) - low AS rel FROM w),
+    nm AS (SELECT result_id, pos, found, row_number() OVER (PARTITION BY result_id, pos ORDER BY greatest(rel - start_at - length(found), start_at - rel, 0), start_at) AS k FROM ({_places_sql('x', 'win', attribution.NAME, 'result_id, pos, rel')})),
+    yr AS (SELECT result_id, pos, bool_or(yy = y) AS has, arg_min(yy, (greatest(rel - start_at - length(found), start_at - rel, 0), start_at)) = any_value(y) AS nearest FROM (SELECT *, regexp_extract(found, '[0-9]{{4}}', 0)::INT AS yy FROM ({_places_sql('x', 'win', attribution.PERIOD, 'result_id, pos, rel, y')})) GROUP BY 1, 2),
+    ok AS (SELECT x.result_id, x.err, x.pos, x.v, CASE WHEN own <> '' THEN nm.found END AS name FROM x LEFT JOIN nm ON nm.result_id = x.result_id AND nm.pos = x.pos AND nm.k = 1 LEFT JOIN yr ON yr.result_id = x.result_id AND yr.pos = x.pos
+    WHERE own = '' OR (coalesce(({_pairs(attribution.NAMED)})[lower(nm.found)] = own, false) AND (x.y IS NULL OR yr.has IS NULL OR yr.has OR yr.nearest))),
+    b AS (SELECT result_id, arg_min((v, err, name), (err, pos)) AS b FROM (SELECT result_id, v, err, pos, coalesce(name, '') AS name FROM ok) GROUP BY 1)
+    SELECT a.result_id, b.b IS NOT NULL AS passed, b.b[1] AS best_match, round(b.b[2] * 100, 3) AS relative_error_pct, own <> '' AS attribution_checked, nullif(b.b[3], '') AS attribution_match FROM a LEFT JOIN b USING (result_id)"""
+)
 def attributed_check(s, d):
     return attribution.check_answers(read_table(s, d, "eval_results"))
 

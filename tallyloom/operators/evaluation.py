@@ -34,8 +34,7 @@ _JUDGE = "faithfulness_score int, relevance_score int, groundedness_score int, h
 
 def declines(answer: Column) -> Column:
     """Whether an answer holds one of the declining phrases."""
-    quoted = "|".join(p.replace("'", "'") for p in DECLINES)
-    return F.coalesce(F.lower(answer).rlike(quoted), F.lit(False))
+    return F.coalesce(F.lower(answer).rlike("|".join(DECLINES)), F.lit(False))
 
 
 def judge_scores(reply: Column) -> Column:

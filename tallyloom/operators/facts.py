@@ -25,6 +25,11 @@ def with_filings(facts: DataFrame, filings: DataFrame, companies: DataFrame) ->
     return facts.join(fl, "filing_id").join(co, "company_id")
 
 
+def landed(facts: DataFrame) -> DataFrame:
+    """Facts as they are stored: a value that is no number is no value."""
+    return facts.withColumn("value", F.when(~F.isnan("value"), C("value")))
+
+
 def reported(df: DataFrame, *, ticker: str | None = None, fields: Sequence[str] | None = DEFAULT_FIELDS, period: str | None = None, dated: bool = False) -> DataFrame:
     """Facts with a value, and those conditions that are given."""
     tests = [C("value").isNotNull() & ~F.isnan("value")]
@@ -68,7 +73,7 @@ def canonical_field(tag: Column) -> Column:
     """Field of a tag with or without prefix; unknown tags in lower camel case."""
     short = F.element_at(F.split(tag, ":"), -1)
     known = F.create_map(*[F.lit(x) for kv in TAG_FIELDS.items() for x in kv])
-    return F.coalesce(F.element_at(known, short), F.concat(F.lower(F.substring(short, 1, 1)), F.substring(short, 2, 1000)))
+    return F.coalesce(F.element_at(known, short), F.concat(F.lower(F.substring(short, 1, 1)), F.substr(short, F.lit(2))))
 
 
 def available_periods(facts: DataFrame, filings: DataFrame, companies: DataFrame) -> DataFrame:

@@ -49,14 +49,21 @@ LABELLED = [
 ]
 
 
-def test_none_of_the_wrong_answers_passes_with_attribution_and_all_do_without():
-    assert not any(attribution.check(a, T[f], f, "FY2024")["passed"] for f, a in WRONG_FIELD_OR_PERIOD)
-    assert all(attribution.check(a, T[f], f, "FY2024", attributed=False)["passed"] for f, a in WRONG_FIELD_OR_PERIOD)
+def passed(spark, cases, **how):
+    rows = [(k, a, T[f], f, "FY2024") for k, (f, a, *_) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "result_id long, model_answer string, ground_truth_value double, canonical_field string, fiscal_period string")
+    got = {r.result_id: r.passed for r in attribution.check_answers(df, **how).collect()}
+    return [got[k] for k in range(len(cases))]
+
+
+def test_none_of_the_wrong_answers_passes_with_attribution_and_all_do_without(spark):
+    assert not any(passed(spark, WRONG_FIELD_OR_PERIOD))
+    assert all(passed(spark, WRONG_FIELD_OR_PERIOD, attributed=False))
 
 
-def test_labelled_answers_have_no_false_verdict():
-    assert [attribution.check(a, T[f], f, "FY2024")["passed"] for f, a, _ in LABELLED] == [v for *_, v in LABELLED]
-    plain = [attribution.check(a, T[f], f, "FY2024", attributed=False)["passed"] for f, a, _ in LABELLED]
+def test_labelled_answers_have_no_false_verdict(spark):
+    assert passed(spark, LABELLED) == [v for *_, v in LABELLED]
+    plain = passed(spark, LABELLED, attributed=False)
     assert sum(p and not v for p, (*_, v) in zip(plain, LABELLED)) == 4
 
 
@@ -72,4 +79,4 @@ def test_rows_nulls_and_native_numbers(spark):
     assert got[1].passed and got[1].attribution_match.lower() == "total revenue" and not any(got[i].passed for i in (2, 3, 4)) and got[5].passed and not got[5].attribution_checked
     native = {r[0]: r[1] for r in df.select("result_id", attribution.number_values(df.model_answer)).collect()}
     assert native[5] == [1234500.0, 7.0] and native[2] == []
-    assert native[1] == [v for v, _ in attribution.numbers_at(LABELLED[0][1])]
+    assert native[1] == [2024.0, 391.04e9]
