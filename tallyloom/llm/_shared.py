@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import materialize
+
 #: A word is a maximal run of letters or digits, in lower case.
 WORD = re.compile(r"[^\W_]+")
 #: White space as `str.split()` sees it, for the JVM's and Python's regexes.
@@ -83,3 +85,31 @@ def file_kind(c: Column) -> Column:
     """file_type without case, outer blanks and a leading dot; missing or empty: other."""
     k = F.regexp_replace(F.lower(F.trim(c)), r"^\.", "")
     return F.when(k.isNull() | (F.trim(k) == ""), F.lit("other")).otherwise(F.trim(k))
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node of each connected component. edges: u, v of one type.
+
+    Alternating large-star and small-star steps (Kiveris et al., 2014); each
+    round is written to the shared folder with, for every edge, whether it is
+    new, so that the end is seen by counting. Nodes with no edge don't come out.
+    """
+    cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc-0")
+    for k in range(max_rounds):
+        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # large star: every larger neighbour moves to the smallest of the neighbourhood
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: the smaller neighbours and the node itself move to the smallest
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        # edges of this round (1) and of the last (2): settled if every edge stands in both
+        marked = small.select("u", "v", F.lit(1).alias("b")).union(cur.select("u", "v", F.lit(2).alias("b"))).groupBy("u", "v").agg(F.bit_or("b").alias("b"))
+        marked = materialize(marked, f"cc-{k + 1}")
+        cur, settled = marked.where("b <> 2").select("u", "v"), marked.where("b <> 3").isEmpty()
+        if settled:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    stars = cur.groupBy("u").agg(F.min("v").alias("root"))
+    return stars.select(F.col("u").alias("node"), "root").union(stars.select(F.col("root").alias("node"), "root").distinct())

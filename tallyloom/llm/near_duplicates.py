@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import U64, WordHashes, maybe_broadcast, mix, slices, texts_of, words
+from tallyloom.llm._shared import U64, WordHashes, components, maybe_broadcast, mix, slices, texts_of, words
 from tallyloom.session import materialize
 
 SHINGLE = 3
@@ -199,31 +199,6 @@ def similar_pairs(chunks: DataFrame, **how) -> DataFrame:
     return same.union(cross)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """node, root: the smallest node of each connected component. edges: u, v of one type.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014); each
-    round is written to the shared folder. Nodes with no edge don't come out.
-    """
-    cur = materialize(edges.select("u", "v").where("u <> v").distinct(), "cc-0")
-    for k in range(max_rounds):
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: every larger neighbour moves to the smallest of the neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: the smaller neighbours and the node itself move to the smallest
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        nxt = materialize(small, f"cc-{k + 1}")
-        if nxt.exceptAll(cur).isEmpty() and cur.exceptAll(nxt).isEmpty():
-            cur = nxt
-            break
-        cur = nxt
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
-
-
 def duplicate_groups(chunks: DataFrame, **how) -> DataFrame:
     """id, group_id (smallest id of the group), class_id, links: one row per chunk, linear in the chunks.
 

@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_truth(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.truth_discovery(read_table(spark, d, "financial_facts"), read_table(spark, d, "filings"))[0]
+    return survivors.truth_discovery(read_table(spark, d, "financial_facts"), read_table(spark, d, "filings"))[0].drop("value")
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -105,22 +105,35 @@ def _text_filled(c: str) -> str:
     return rf"{c} IS NOT NULL AND regexp_matches({c}, '[\p{{L}}\p{{Nd}}]') AND lower(trim({c})) NOT IN ({nothing})"
 
 
-def _sessions_sql(source: str, by: str, order: str, apart: int, name: str) -> str:
-    step = f"SELECT *, CASE WHEN {order} - lag({order}) OVER (PARTITION BY {by} ORDER BY {order}) > {apart} THEN 1 ELSE 0 END AS new_{name} FROM ({source})"
-    return f"SELECT *, sum(new_{name}) OVER (PARTITION BY {by} ORDER BY {order} RANGE UNBOUNDED PRECEDING) AS {name} FROM ({step})"
+def _p5_groups() -> str:
+    """CTEs up to q: the facts of groups, with their group_id."""
+    base = r"SELECT DISTINCT f.*, g.company_id, g.filed_date, regexp_replace(lower(canonical_field), '[^\p{L}\p{Nd}]+', '', 'g') AS fld, coalesce(duration_days, date_diff('day', period_start, period_end)) IS NULL AS pt, coalesce(duration_days, date_diff('day', period_start, period_end), 0) AS len, date_diff('day', DATE '1970-01-01', period_end) AS d FROM financial_facts f JOIN filings g USING (filing_id) WHERE period_end IS NOT NULL AND company_id IS NOT NULL"
+    # chains of admissible pairs, by the transitive closure of the pairs of (end, length)
+    return f"""b AS ({base}), c AS (SELECT company_id, fld, pt, d, len, min(fact_id) AS id FROM b WHERE fld <> '' GROUP BY ALL),
+    e AS (SELECT x.id AS u, y.id AS v FROM c x JOIN c y ON x.company_id = y.company_id AND x.fld = y.fld AND x.pt = y.pt AND abs(x.d - y.d) <= {survivors.DAYS_APART} AND abs(x.len - y.len) <= {survivors.LENGTH_APART}),
+    r(id, root) AS (SELECT id, id FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id), k AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+    q AS (SELECT b.*, root, min(fact_id) OVER (PARTITION BY root) AS group_id FROM b JOIN c USING (company_id, fld, pt, d, len) JOIN k ON k.id = c.id QUALIFY min(fact_id) OVER (PARTITION BY root) <> max(fact_id) OVER (PARTITION BY root))"""
+
+
+_P5_FILLED = _FILLED | {c: _text_filled(c) for c in ("unit", "source_page")}
 
 
 def _p5_sql() -> str:
-    base = r"SELECT DISTINCT f.*, g.company_id, g.filed_date, regexp_replace(lower(canonical_field), '[^\p{L}\p{Nd}]+', '', 'g') AS fld, coalesce(duration_days, date_diff('day', period_start, period_end)) IS NULL AS pt, coalesce(duration_days, date_diff('day', period_start, period_end), 0) AS len, date_diff('day', DATE '1970-01-01', period_end) AS d FROM financial_facts f JOIN filings g USING (filing_id) WHERE period_end IS NOT NULL AND company_id IS NOT NULL"
-    by = "company_id, fld, pt"
-    for k in range(2):
-        base = _sessions_sql(base, by, "d", survivors.DAYS_APART, f"e{k}")
-        by += f", e{k}"
-        base = _sessions_sql(base, by, "len", survivors.LENGTH_APART, f"l{k}")
-        by += f", l{k}"
-    filled = _FILLED | {c: _text_filled(c) for c in ("unit", "source_page")}
-    each = " UNION ALL ".join(f"SELECT group_id, '{c}' AS field_name, fact_id FROM q WHERE {t} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY filed_date DESC NULLS LAST, filing_id DESC, fact_id DESC) = 1" for c, t in filled.items())
-    return f"WITH q AS (SELECT *, min(fact_id) OVER (PARTITION BY {by}) AS group_id FROM ({base}) QUALIFY count(*) OVER (PARTITION BY {by}) > 1) {each}"
+    each = " UNION ALL ".join(f"SELECT group_id, '{c}' AS field_name, fact_id FROM q WHERE {t} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY filed_date DESC NULLS LAST, filing_id DESC, fact_id DESC) = 1" for c, t in _P5_FILLED.items())
+    return f"WITH RECURSIVE {_p5_groups()} {each}"
+
+
+def _p5_truth_sql() -> str:
+    claim = {c: r"lower(trim(regexp_replace({0}::VARCHAR, '\s+', ' ', 'g')))".format(c) for c in _P5_FILLED} | {"value": "CASE WHEN value = 0 THEN '0' ELSE round(value / pow(10.0, floor(log10(abs(value))) - 5))::BIGINT || 'e' || (floor(log10(abs(value)))::BIGINT - 5) END"}
+    claims = " UNION ALL ".join(f"SELECT group_id, filing_id, fact_id, filed_date, '{c}' AS field_name, {claim[c]} AS claim FROM q WHERE {t}" for c, t in _P5_FILLED.items())
+    return f"""WITH RECURSIVE {_p5_groups()}, cl AS MATERIALIZED ({claims}), v AS MATERIALIZED (SELECT DISTINCT group_id, field_name, claim, filing_id FROM cl),
+    t(k, filing_id, rel, step) AS (SELECT DISTINCT 0, filing_id, 0.5::DOUBLE, 1.0::DOUBLE FROM v UNION ALL
+      SELECT k + 1, filing_id, new, abs(new - rel) FROM (SELECT k, filing_id, rel, last_step, round((sum(w / total) + 0.5) / (count(*) + 1), 9) AS new FROM (
+        SELECT v.*, k, rel, max(step) OVER () AS last_step, sum(rel) OVER (PARTITION BY group_id, field_name, claim) AS w, sum(rel) OVER (PARTITION BY group_id, field_name) AS total FROM v JOIN t USING (filing_id)) GROUP BY ALL) WHERE k % 4 <> 0 OR last_step > 1e-3),
+    z AS (SELECT filing_id, rel FROM t WHERE k = (SELECT max(k) FROM t)), w AS (SELECT group_id, field_name, claim, sum(rel) AS w, count(*) AS claims FROM v JOIN z USING (filing_id) GROUP BY ALL),
+    l AS (SELECT group_id, field_name, claim, max((coalesce(filed_date, DATE '0001-01-01'), filing_id, fact_id)) AS last FROM cl GROUP BY ALL)
+    SELECT group_id, field_name, claim, round(w / total, 6) AS support, claims, last[3] AS fact_id FROM (SELECT *, sum(w) OVER (PARTITION BY group_id, field_name) AS total FROM w JOIN l USING (group_id, field_name, claim))
+    QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY round(w, 9) DESC, last DESC) = 1"""
 
 
 _SQL = {
@@ -132,6 +145,7 @@ _SQL = {
     "p4_found": f"""WITH c AS (SELECT DISTINCT id, {_KIND} AS kind, len(regexp_extract_all(content, '[^{_WHITE}]+')) AS n FROM chunks WHERE content IS NOT NULL), s AS (SELECT * FROM size_limits WHERE size_unit = 'words')
     SELECT DISTINCT id FROM c WHERE n > coalesce((SELECT max_size FROM s WHERE item_kind = kind), (SELECT max_size FROM s WHERE item_kind = 'other'))""",
     "p5_found": _p5_sql(),
+    "p5_truth": _p5_truth_sql(),
     "p7_found": f"""WITH g AS (SELECT DISTINCT item_id, {_GRAM.format(11)} AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items))),
     d AS (SELECT DISTINCT doc_id, {_GRAM.format(11)} AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL))) SELECT DISTINCT doc_id, item_id FROM d JOIN g USING (gram)""",
 }

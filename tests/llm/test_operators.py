@@ -529,3 +529,22 @@ def test_p2_words_of_the_question_say_nothing_of_the_language():
     assert v["language"] == (0, 0, 0)
     v = answer_defects.votes("How large was the income tax charge of ZKC in FY2018?", "A empresa registou $5.6 million no período FY2018, conforme a nota 4.", None, model)
     assert v["language"][0] == v["language"][2] == 1 or v["language"][2] == 1
+
+
+def test_p5_chains_of_admissible_pairs(spark):
+    """Combinations of (end, length) against a union of all admissible pairs."""
+    rng = random.Random(5)
+    sets = [[(1, 116), (5, 111), (6, 95), (13, 104)]] + [[(rng.randint(0, 40), rng.randint(80, 150)) for _ in range(9)] for _ in range(150)]
+    rows = [(k * 100 + i, k, "f", False, d, n) for k, s in enumerate(sets) for i, (d, n) in enumerate(dict.fromkeys(s))]
+    df = spark.createDataFrame(rows, "id long, company_id long, field string, is_point boolean, end_day int, length int")
+    got = {r.id: r.root for r in survivors.linked(df).collect()}
+    for k, s in enumerate(sets):
+        own = list(dict.fromkeys(s))
+        root = list(range(len(own)))
+        for _ in own:
+            for i, (d, n) in enumerate(own):
+                for j, (e, m) in enumerate(own):
+                    if abs(d - e) <= 7 and abs(n - m) <= 12:
+                        root[i] = root[j] = min(root[i], root[j])
+        assert [got[k * 100 + i] for i in range(len(own))] == [k * 100 + r for r in root], own
+    assert len({got[i] for i in range(4)}) == 2
