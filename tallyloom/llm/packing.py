@@ -38,7 +38,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _ASCII_SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
 STEP_GROUP = 64
 BUCKET_ITEMS = 50_000
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int32())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int32()), ("all_tokens", pa.int64())])
 
 
 class TokenCounter:
@@ -82,7 +82,7 @@ def _items(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Itera
         no = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = no * capacity
         size = np.minimum(n[row] - start, capacity)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(no + 1, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32())], schema=_PIECES)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(no + 1, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(n[row], pa.int64())], schema=_PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int, tiers: int = 4) -> tuple[np.ndarray, int]:
@@ -155,7 +155,7 @@ def pack(documents: DataFrame, limits: DataFrame, *, tokenizer: str = TOKENIZER,
     One row per document; only a document of more tokens than the container
     holds is divided, into full pieces and one rest. Documents without a token
     (null or empty text) come out with null container_id. Rows without an id
-    are left out; a repeated id is packed once, with its first pieces.
+    are left out; a repeated id is packed once, with its longest text.
     Containers have the max_size of the limit `container`; each step group
     has at most `step_group` containers and all have nearly the same tokens.
     """
@@ -164,8 +164,10 @@ def pack(documents: DataFrame, limits: DataFrame, *, tokenizer: str = TOKENIZER,
         raise ValueError("size_limits has no row for the container")
     capacity = int(row.n)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    items = docs.mapInArrow(partial(_items, path=tokenizer, capacity=capacity), "doc_id long, piece_no int, token_start long, n_tokens int")
-    items = materialize(items.groupBy("doc_id", "piece_no").agg(F.min("token_start").alias("token_start"), F.max("n_tokens").alias("n_tokens")), "p6-items")
+    items = docs.mapInArrow(partial(_items, path=tokenizer, capacity=capacity), "doc_id long, piece_no int, token_start long, n_tokens int, all_tokens long")
+    # a repeated id is packed once: its longest text has every piece number that its other texts have
+    items = items.groupBy("doc_id", "piece_no").agg(F.max(F.struct("all_tokens", "token_start", "n_tokens")).alias("x"))
+    items = materialize(items.select("doc_id", "piece_no", "x.token_start", "x.n_tokens"), "p6-items")
     total = items.count()
     buckets = max(8, -(-total // BUCKET_ITEMS))
     items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)))
@@ -180,3 +182,12 @@ def pack(documents: DataFrame, limits: DataFrame, *, tokenizer: str = TOKENIZER,
     groups = max(1, -(-containers // step_group))
     schema = "doc_id long, piece_no int, token_start long, n_tokens int, container_id long, slot_start long, step_group long"
     return ranked.mapInPandas(partial(_assign, segments=segments, stride=stride, groups=groups), schema)
+
+
+def packed(placed: DataFrame, capacity: int) -> DataFrame:
+    """One row on a packing: documents, pieces, containers over the capacity, slots that overlap or leave a hole, and whether at least 99 % is used."""
+    w = Window.partitionBy("container_id").orderBy("slot_start", "doc_id", "piece_no")
+    put = placed.where("container_id is not null").withColumn("gap", F.col("slot_start") - F.coalesce(F.lag(F.col("slot_start") + F.col("n_tokens")).over(w), F.lit(0)))
+    each = put.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("gap") != 0).alias("bad"))
+    pieces = placed.agg(F.count_distinct("doc_id").alias("documents"), (F.count(F.lit(1)) - F.count_distinct("doc_id", "piece_no")).alias("repeated"))
+    return each.agg(F.count_if(F.col("used") > capacity).alias("over"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_slots"), (F.sum("used") >= 0.99 * capacity * (F.count(F.lit(1)) - 1)).alias("full")).crossJoin(pieces)  # one row each

@@ -7,9 +7,10 @@ count plus the ticker's pruned weight reaches the threshold is a candidate.
 That misses no line as long as the pruned weight is below the threshold; the
 lines of tickers where it isn't are all counted, by a partially aggregated
 grouping. A second pass counts the distinct papers of the candidates exactly.
-The confirmed
-lines, at most papers' mean number of lines divided by `share` per ticker, are
-removed as sets that are broadcast if their counted size allows it.
+The confirmed lines, per ticker at most the mean number of lines of its papers
+divided by the share, are a set of keys that is broadcast if its counted size
+allows it; it gives the numbers of the lines to remove, which meet the
+contents by their id.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _summaries(batches: Iterator[pd.DataFrame], capacity: int, most: int) -> Ite
 
 
 def repeated_lines(chunks: DataFrame, *, min_papers: int = MIN_PAPERS, min_share: float = MIN_SHARE, capacity: int = CAPACITY, held: int = HELD_COUNTERS) -> tuple[DataFrame, DataFrame]:
-    """Lines (id, line_no, ticker, k1, k2) and the confirmed (ticker, k1, k2, papers).
+    """Lines (id, text_hash, line_no, ticker, k1, k2) and the confirmed (ticker, k1, k2, papers).
 
     chunks: id, paper_id, ticker, content, is_table; further columns are
     ignored. Table chunks and those without a ticker or content are not
@@ -90,10 +91,10 @@ def repeated_lines(chunks: DataFrame, *, min_papers: int = MIN_PAPERS, min_share
     papers = base.groupBy("ticker", "paper_id").agg(F.lit(1).alias("one")).groupBy("ticker").agg(F.count("paper_id").alias("papers"))
     need = F.greatest(F.lit(min_papers).cast("double"), F.col("papers") * min_share - 1e-9)
     papers = materialize(papers.select("ticker", need.alias("need")), "p3-papers")
-    lines = base.where(~F.coalesce("is_table", F.lit(False)) & F.col("content").isNotNull()).select("id", "paper_id", "ticker", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+    lines = base.where(~F.coalesce("is_table", F.lit(False)) & F.col("content").isNotNull()).select("id", "paper_id", "ticker", F.xxhash64("content").alias("text_hash"), F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
     text = line_text(F.col("line"))
-    lines = lines.select("id", "paper_id", "ticker", (F.col("pos") + 1).alias("line_no"), text.alias("text")).where("text <> ''")
-    lines = lines.select("id", "paper_id", "ticker", "line_no", F.xxhash64("text").alias("k1"), F.hash("text").cast("long").alias("k2"))
+    lines = lines.select("id", "paper_id", "ticker", "text_hash", (F.col("pos") + 1).alias("line_no"), text.alias("text")).where("text <> ''")
+    lines = lines.select("id", "paper_id", "ticker", "text_hash", "line_no", F.xxhash64("text").alias("k1"), F.hash("text").cast("long").alias("k2"))
     lines = materialize(lines, "p3-lines")
     local = lines.select("ticker", "k1", "k2").mapInPandas(partial(_summaries, capacity=capacity, most=held), "ticker string, k1 long, k2 long, n long, pruned long")
     merged = local.groupBy("ticker", "k1", "k2").agg(F.sum("n").alias("n"), F.sum("pruned").alias("pruned"))
@@ -125,17 +126,11 @@ def without_lines(chunks: DataFrame, **how) -> DataFrame:
     A chunk that isn't searched keeps its content. Of rows with one id the
     one with the smallest content stands.
     """
-    _, confirmed = repeated_lines(chunks, **how)
-    sets = materialize(confirmed.groupBy("ticker").agg(F.collect_set(F.struct("k1", "k2")).alias("drop")), "p3-sets")
+    lines, confirmed = repeated_lines(chunks, **how)
+    cut = lines.where("id is not null").join(maybe_broadcast(confirmed, BROADCAST_ROWS), ["ticker", "k1", "k2"]).groupBy("id", "text_hash", "ticker").agg(F.collect_set("line_no").alias("cut"))
     one = chunks.select("id", "content", ticker_of(F.col("ticker")).alias("ticker"), (~F.coalesce("is_table", F.lit(False))).alias("searched")).where("id is not null")
     one = one.groupBy("id").agg(F.min(F.struct("content", "ticker", "searched")).alias("r")).select("id", "r.*")
-    with_sets = one.join(maybe_broadcast(sets, BROADCAST_ROWS), "ticker", "left")
-    lines = F.split("content", "\n", -1)
-    is_cut = lambda x: F.array_contains(F.col("drop"), F.struct(F.xxhash64(line_text(x)).alias("k1"), F.hash(line_text(x)).cast("long").alias("k2"))) & (line_text(x) != "")
-    kept = F.filter(lines, lambda x: ~is_cut(x))
-    act = F.col("searched") & F.col("drop").isNotNull() & F.col("content").isNotNull()
-    return with_sets.select(
-        "id",
-        F.when(act, F.array_join(kept, "\n")).otherwise(F.col("content")).alias("content"),
-        F.when(act, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).alias("removed"),
-    )
+    both = one.withColumn("text_hash", F.xxhash64("content")).join(cut.withColumnRenamed("ticker", "of"), ["id", "text_hash"], "left").where("of is null or of = ticker or not searched").dropDuplicates(["id"])
+    kept = F.filter(F.split("content", "\n", -1), lambda _, i: ~F.array_contains("cut", i + 1))
+    act = F.col("searched") & F.col("cut").isNotNull()
+    return both.select("id", F.when(act, F.array_join(kept, "\n")).otherwise(F.col("content")).alias("content"), F.when(act, F.size("cut")).otherwise(F.lit(0)).alias("removed"))

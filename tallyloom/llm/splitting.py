@@ -14,18 +14,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm._shared import file_kind, slices, texts_of
+from tallyloom.llm._shared import WHITE, file_kind, maybe_broadcast, slices, texts_of
 
 TOKEN = re.compile(r"\S+")
 _CLOSERS = "\"'”’»)]}*_`"
-_PIECES = pa.schema([("id", pa.string()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("page_number", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("text", pa.string())])
-SCHEMA = "id string, piece_no int, n_pieces int, page_number int, first_word int, n_words int, text string"
+_PIECES = pa.schema([("id", pa.string()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("page_number", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("max_size", pa.int32()), ("text", pa.string())])
+SCHEMA = "id string, piece_no int, n_pieces int, page_number int, first_word int, n_words int, max_size int, text string"
 #: A piece that is not the last has at least this share of the limit.
 LEAST_SHARE = 0.5
-MAX_KINDS = 10_000
+#: Kinds with a limit of their own up to which the table of limits is broadcast.
+BROADCAST_KINDS = 100_000
 
 
 def strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -111,7 +112,7 @@ def _split(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Record
                 pieces = [(0, len(t.split()), t)]
             else:
                 continue
-            rows += [(i, k + 1, len(pieces), page, f, n, x) for k, (f, n, x) in enumerate(pieces)]
+            rows += [(i, k + 1, len(pieces), page, f, n, limit, x) for k, (f, n, x) in enumerate(pieces)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
@@ -120,19 +121,19 @@ def pieces(chunks: DataFrame, limits: DataFrame, *, whole: bool = False) -> Data
     """The pieces of chunks over the limit of their kind; with `whole`, the other chunks as one piece too.
 
     chunks: id, content, file_type, page_number; limits: item_kind, size_unit,
-    max_size, overlap_size (one row a kind, at most MAX_KINDS). Words are
+    max_size, overlap_size (of several rows of a kind the largest). Words are
     separated by any white space. Kinds without a limit of their own take that
     of `other`; if there is none, nothing is cut. Null contents and ids are
     left out; an id delivered twice comes out once. Consecutive pieces share
     exactly overlap_size words (fewer only if the limit leaves no room).
     """
-    table = [(r.k, r.max_size, r.overlap_size) for r in limits.where("size_unit = 'words' and max_size is not null").select(F.lower("item_kind").alias("k"), "max_size", "overlap_size").limit(MAX_KINDS).collect()]
-    kind = file_kind(F.col("file_type"))
-    other = next(((m, o) for k, m, o in table if k == "other"), (None, None))
-    limit, overlap = F.lit(other[0]).cast("int"), F.lit(other[1]).cast("int")
-    for k, m, o in table:
-        limit, overlap = F.when(kind == k, F.lit(m)).otherwise(limit), F.when(kind == k, F.lit(o)).otherwise(overlap)
-    rows = chunks.select("id", F.col("page_number").cast("int").alias("page_number"), limit.alias("max_size"), overlap.alias("overlap_size"), "content").where("id is not null and content is not null")
+    own = limits.where("size_unit = 'words' and max_size is not null").groupBy(F.lower("item_kind").alias("kind")).agg(F.max(F.struct("max_size", "overlap_size")).alias("own"))
+    other = own.where("kind = 'other'").first()
+    most, overlap = (other.own.max_size, other.own.overlap_size) if other else (None, None)
+    kinds = chunks.select("id", F.col("page_number").cast("int").alias("page_number"), file_kind(F.col("file_type")).alias("kind"), "content").where("id is not null and content is not null")
+    rows = kinds.join(maybe_broadcast(own, BROADCAST_KINDS), "kind", "left").select(
+        "id", "page_number", F.coalesce("own.max_size", F.lit(most)).cast("int").alias("max_size"), F.when(F.col("own").isNotNull(), F.col("own.overlap_size")).otherwise(F.lit(overlap)).cast("int").alias("overlap_size"), "content",
+    )
     if not whole:  # n words need at least 2 n - 1 characters
         rows = rows.where(F.length("content") > 2 * F.col("max_size"))
     return rows.mapInArrow(partial(_split, whole=whole), SCHEMA).dropDuplicates(["id", "piece_no"])
@@ -141,3 +142,20 @@ def pieces(chunks: DataFrame, limits: DataFrame, *, whole: bool = False) -> Data
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """The ids of the chunks that had to be cut."""
     return pieces(chunks, limits).where("piece_no = 1 and n_pieces > 1").select("id")
+
+
+def rejoined(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """id, n_words, words_md5, fits, least_shared, most_shared of each cut chunk, put together again from its pieces.
+
+    The overlap of every piece but the first is dropped; the words that are
+    left are those of the chunk. fits: no piece is over the limit;
+    least_shared, most_shared: words that consecutive pieces have in common.
+    """
+    p = pieces(chunks, limits)
+    words_ = F.filter(F.split("text", rf"[{WHITE}]+"), lambda w: w != "")
+    start = F.lag("first_word").over(w := Window.partitionBy("id").orderBy("piece_no"))
+    shared = F.lag("n_words").over(w) + start - F.col("first_word")
+    p = p.withColumn("shared", shared).withColumn("own", F.slice(words_, F.coalesce("shared", F.lit(0)) + 1, F.col("n_words")))
+    return p.groupBy("id").agg(
+        F.sum(F.size("own")).alias("n_words"), F.md5(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"])), " ")).alias("words_md5"), (F.max("n_words") <= F.max("max_size")).alias("fits"), F.min("shared").alias("least_shared"), F.max("shared").alias("most_shared"),
+    )
