@@ -1,18 +1,20 @@
 """Problem 1: groups of chunks that hold nearly the same content.
 
 Method: anchor-point covering. A content's fingerprint is, for each of
-`tables` tables, a word of four symbols over the integers modulo 2**64; the
-symbols are minima of hashes over the content's sequences of three words, so
-two contents share a symbol with a probability equal to their similarity.
-The covering code of a table is the single-parity-check code: the words whose
-symbols add up to zero. Its covering radius is one, since changing any one
-symbol repairs the sum, and so every fingerprint has exactly four anchors
-within that radius. Replicating each fingerprint to them covers the threshold
-too: two fingerprints at distance one agree in three symbols, and the one
-codeword with these three symbols lies within radius one of both. (The code
-meets the Singleton bound, which is why the radius need not be widened by the
-threshold as for binary codes: the wider ball holds no further codeword that
-two fingerprints within the threshold need.)
+`tables` tables, a word of seven symbols; the symbols are minima of hashes over
+the content's sequences of three words, so two contents share a symbol with a
+probability equal to their similarity.
+
+The covering code is the Hamming code of length seven. A codeword of weight
+four names the symbols that an anchor leaves open; the anchor keeps the other
+three. Every fingerprint is replicated to all of its seven anchors, which lie
+at distance four, the covering radius of the anchors, and none lies nearer.
+The threshold is two symbols: every set of at most two of the seven places is
+covered by a codeword of weight four, so two fingerprints that differ in no
+more places share an anchor, and so do most that differ in three (both are
+tested over all patterns). Over an alphabet of 2**64 symbols the ball of radius
+plus threshold holds endlessly many anchors; the code is chosen so that the
+radius alone gives the guarantee.
 
 Within an anchor, members are compared by a 128-bit signature of 32 symbols of
 four bits, and whatever passes is checked exactly on the texts.
@@ -23,9 +25,10 @@ the sequences that make two of them alike are the common ones. Three symbols
 that must agree keep most contents apart that share stock phrases only.
 
 Contents with the same words form a class, represented once, so copies cost
-nothing per pair. An anchor with more than `block` classes is split into
-blocks; each pair of blocks is a join key of its own, so that no task holds
-more than two blocks of an anchor.
+nothing per pair. Anchors with more than `block` classes are found by counts
+of hash cells and then exactly; they are split into blocks before any task
+gathers them, and each pair of blocks is a join key of its own, so that no task
+holds more than two blocks of an anchor.
 """
 
 from __future__ import annotations
@@ -44,9 +47,13 @@ from tallyloom.session import materialize
 
 SHINGLE = 3
 SIMILARITY = 0.5
-#: At similarity 0.5, 0.6, 0.7 a pair shares an anchor with probability 0.966, 0.997, 0.9999.
-TABLES = 9
-SYMBOLS = 4
+#: At similarity 0.5, 0.6, 0.7 a pair shares an anchor with probability 0.969, 0.997, 0.9999.
+TABLES = 5
+SYMBOLS = 7
+#: Places of the symbols that each anchor keeps: three whose numbers cancel each other, which are the places that the codewords of weight four leave out.
+KEPT = [(a - 1, b - 1, (a ^ b) - 1) for a in range(1, 8) for b in range(a + 1, 8) if a ^ b > b]
+#: Mean number of keys in a cell of the counts that find crowded anchors.
+CELL = 512
 #: Symbols of the signature, four bits each, and how many of them must agree before the texts are compared:
 #: at similarity 0.6 the mean is 20 with a deviation of 2.7, at 0.1 it is 5.
 SIGNATURE = 32
@@ -79,16 +86,15 @@ def _minima(values: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, off
 
 
 def anchor_keys(symbols: np.ndarray) -> np.ndarray:
-    """Keys of the codewords within radius one of each word. symbols: rows x tables x SYMBOLS."""
-    n, tables, s = symbols.shape
-    total = symbols.sum(axis=2, dtype=U64)
-    weights = mix(np.arange(1, tables * s + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)).reshape(tables, s) | U64(1)
-    plain = (symbols * weights).sum(axis=2, dtype=U64)
-    out = np.empty((n, tables, s), U64)
-    for i in range(s):
-        repaired = symbols[:, :, i] - total  # makes the symbols add up to zero
-        out[:, :, i] = mix(plain + (repaired - symbols[:, :, i]) * weights[:, i] + np.arange(tables, dtype=U64))
-    return out.reshape(n, tables * s)
+    """Keys of the anchors of each fingerprint. symbols: rows x tables x SYMBOLS."""
+    n, tables, _ = symbols.shape
+    out = np.empty((n, tables, len(KEPT)), U64)
+    for k, places in enumerate(KEPT):
+        name = mix(np.arange(tables, dtype=U64) * U64(len(KEPT)) + U64(k + 1))  # of the table and the places
+        for place in places:
+            name = mix(name + symbols[:, :, place])
+        out[:, :, k] = name
+    return out.reshape(n, tables * len(KEPT))
 
 
 def _hashed(batch: pa.RecordBatch, hashes: WordHashes, size: int) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
@@ -100,7 +106,7 @@ def _hashed(batch: pa.RecordBatch, hashes: WordHashes, size: int) -> tuple[list[
 
 def _features(batches: Iterator[pa.RecordBatch], tables: int, size: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(20250101)
-    n_sym, n_all = tables * SYMBOLS, max(tables * SYMBOLS, SIGNATURE)
+    n_sym, n_all, n_keys = tables * SYMBOLS, max(tables * SYMBOLS, SIGNATURE), tables * len(KEPT)
     mult = rng.integers(0, 1 << 63, n_all, dtype=np.int64).astype(U64) * U64(2) + U64(1)
     offs = rng.integers(0, 1 << 63, n_all, dtype=np.int64).astype(U64) * U64(2)
     place = U64(4) * np.arange(16, dtype=U64)
@@ -111,7 +117,7 @@ def _features(batches: Iterator[pa.RecordBatch], tables: int, size: int) -> Iter
         cls = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
         has = counts > 0
         k = int(has.sum())
-        sigs, anchors = np.zeros((len(lists), 2), np.int64), np.empty((0, n_sym), U64)
+        sigs, anchors = np.zeros((len(lists), 2), np.int64), np.empty((0, n_keys), U64)
         if k:
             own = counts[has]
             starts = np.concatenate(([0], np.cumsum(own)[:-1]))
@@ -120,7 +126,7 @@ def _features(batches: Iterator[pa.RecordBatch], tables: int, size: int) -> Iter
             sigs[has, 0] = (bits[:, :16] << place).sum(axis=1, dtype=U64).view(np.int64)
             sigs[has, 1] = (bits[:, 16:] << place).sum(axis=1, dtype=U64).view(np.int64)
             anchors = anchor_keys(mins[:, :n_sym].reshape(k, tables, SYMBOLS))
-        offsets = np.concatenate(([0], np.cumsum(np.where(has, n_sym, 0)))).astype(np.int32)
+        offsets = np.concatenate(([0], np.cumsum(np.where(has, n_keys, 0)))).astype(np.int32)
         column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchors.reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), column], schema=_FEATURES)
 
@@ -149,6 +155,25 @@ def _exact(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> I
         yield b.filter(pa.array(keep, pa.bool_())).select(["a1", "a2", "b1", "b2"])
 
 
+def crowded(feats: DataFrame, at: DataFrame, block: int) -> DataFrame | None:
+    """anchor, n: the anchors with at least `block` classes; None if there are none.
+
+    Keys are first counted in cells, a table of a fixed share of their number
+    that partial sums keep small in every task; only the keys of cells that
+    hold as many are counted one by one.
+    """
+    rows = feats.where(F.size("anchors") > 0).count()
+    cells = 1 << max(12, (rows * TABLES * len(KEPT) // CELL).bit_length())
+    cell = lambda c: F.pmod(c, F.lit(cells))
+    full = feats.select(F.explode("anchors").alias("anchor")).groupBy(cell(F.col("anchor")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(block, 2)).select("cell")
+    full = materialize(full, "p1-cells")
+    if full.isEmpty():
+        return None
+    hot = at.withColumn("cell", cell(F.col("anchor"))).join(maybe_broadcast(full, BROADCAST_ROWS), "cell").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(block, 2))
+    hot = materialize(hot, "p1-crowded")
+    return None if hot.isEmpty() else hot
+
+
 def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, agreeing: int = LEAST_AGREEING, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Members (id, c1, c2) and the links (a1, a2, b1, b2) between classes of equal word sequences.
 
@@ -162,7 +187,14 @@ def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: floa
     feats = materialize(feats, "p1-features")
     classes = feats.where(F.size("anchors") > 0).groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.any_value("s1").alias("s1"), F.any_value("s2").alias("s2"), F.any_value("anchors").alias("anchors"))
     at = classes.select("c1", "c2", "s1", "s2", F.explode("anchors").alias("anchor"))
-    crowd = at.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1")
+    hot = crowded(feats, at, block)
+    counted = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
+    if hot is None:
+        crowd = at.withColumn("n", counted).where("n > 1")
+    else:  # crowded anchors are never gathered; the others have fewer than `block` classes
+        hot = maybe_broadcast(hot, BROADCAST_ROWS)
+        rest = at.join(hot.select("anchor"), "anchor", "left_anti").select(*at.columns)
+        crowd = rest.withColumn("n", counted).where("n > 1").union(at.join(hot, "anchor").select(*at.columns, "n"))
     crowd = materialize(crowd, "p1-anchors")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("c1", "c2"), parts).cast("int")

@@ -102,19 +102,32 @@ def test_p1_hot_group_with_insertions(spark):
 
 
 def test_p1_anchor_code():
-    """Fingerprints that agree in two of three symbols share an anchor; others don't."""
+    """Fingerprints that differ in at most two of seven symbols share an anchor, whatever the places; so do four fifths of those that differ in three."""
+    import itertools
+
     import numpy as np
 
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 62, (200, 4, 3)).astype(np.uint64)
-    b = a.copy()
-    b[:, :, 1] += np.uint64(7)
-    c = b.copy()
-    c[:, :, 2] += np.uint64(9)
-    ka, kb, kc = (near_duplicates.anchor_keys(x).reshape(200, 4, 3) for x in (a, b, c))
-    for i in range(200):
-        for t in range(4):
-            assert len(set(ka[i, t]) & set(kb[i, t])) == 1 and not set(ka[i, t]) & set(kc[i, t])
+    a = rng.integers(0, 1 << 62, (1, 4, 7)).astype(np.uint64)
+    keys = near_duplicates.anchor_keys(a).reshape(4, 7)
+    assert len(set(keys.reshape(-1))) == 28
+    met = {n: [] for n in range(8)}
+    for n in range(8):
+        for places in itertools.combinations(range(7), n):
+            b = a.copy()
+            b[:, :, places] += np.uint64(9)
+            other = near_duplicates.anchor_keys(b).reshape(4, 7)
+            met[n] += [bool(set(x) & set(y)) for x, y in zip(keys, other)]
+    assert all(met[0] + met[1] + met[2]) and sum(met[3]) == 28 * 4 and sum(met[4]) == 7 * 4 and not any(met[5] + met[6] + met[7])
+
+
+def test_p1_code_covers():
+    """The places that anchors leave open are the codewords of weight four of a linear code of distance three."""
+    words = {sum(1 << i for i in range(7) if i not in kept) for kept in near_duplicates.KEPT}
+    assert len(words) == 7 and all(w.bit_count() == 4 for w in words)
+    code = {0} | words | {127 ^ w for w in words} | {127}
+    assert len(code) == 16 and all(x ^ y in code for x in code for y in code) and all((x ^ y).bit_count() >= 3 for x in code for y in code if x != y)
+    assert all(any(e & ~w == 0 for w in words) for e in range(128) if e.bit_count() <= 2)
 
 
 def test_p2_cases(spark):
