@@ -184,9 +184,11 @@ def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: floa
     """
     rows = chunks.select("id", "content").where(F.col("id").isNotNull())
     feats = rows.mapInArrow(partial(_features, tables=tables, size=size), "id string, c1 long, c2 long, s1 long, s2 long, anchors array<long>")
-    feats = materialize(feats, "p1-features")
-    classes = feats.where(F.size("anchors") > 0).groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.any_value("s1").alias("s1"), F.any_value("s2").alias("s2"), F.any_value("anchors").alias("anchors"))
-    at = classes.select("c1", "c2", "s1", "s2", F.explode("anchors").alias("anchor"))
+    feats = materialize(feats.withColumn("row", F.monotonically_increasing_id()), "p1-features")
+    # one row of each class; only classes with copies need a look
+    copied = feats.where(F.size("anchors") > 0).groupBy("c1", "c2").agg(F.min("row").alias("first"), F.max("row").alias("_last")).where("first <> _last").drop("_last")
+    classes = feats.where(F.size("anchors") > 0).join(maybe_broadcast(materialize(copied, "p1-copied"), BROADCAST_ROWS), ["c1", "c2"], "left").where("first is null or row = first")
+    at = classes.select("c1", F.explode("anchors").alias("anchor"))
     hot = crowded(feats, at, block)
     counted = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
     if hot is None:
@@ -195,7 +197,8 @@ def similarity_links(chunks: DataFrame, *, size: int = SHINGLE, similarity: floa
         hot = maybe_broadcast(hot, BROADCAST_ROWS)
         rest = at.join(hot.select("anchor"), "anchor", "left_anti").select(*at.columns)
         crowd = rest.withColumn("n", counted).where("n > 1").union(at.join(hot, "anchor").select(*at.columns, "n"))
-    crowd = materialize(crowd, "p1-anchors")
+    # up to here 64 bits name a class; classes that share them all go on from here, so nothing is mixed up or lost
+    crowd = materialize(crowd, "p1-anchors").join(classes.select("c1", "c2", "s1", "s2"), "c1")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("c1", "c2"), parts).cast("int")
     # a class of block i meets block j in the cell (min, max); both sides list the cells of their block
