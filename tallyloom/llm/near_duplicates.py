@@ -59,7 +59,7 @@ CELL = 512
 SIGNATURE = 32
 LEAST_AGREEING = 11
 BLOCK = 2_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 _FEATURES = pa.schema([("id", pa.string()), ("c1", pa.int64()), ("c2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
