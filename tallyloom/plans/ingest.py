@@ -6,6 +6,7 @@ import csv
 import io
 import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,11 +24,38 @@ _CHUNK = pa.schema(
 )
 SCHEMA = "paper_id string, file_type string, problem string, chunk_id int, text string, word_count int, page_number int, is_table boolean, table_caption string, unit_context string, section string, statement_scope string, content_hash string"
 
-#: Turns the content of a PDF into blocks; none is shipped.
-PdfReader = Callable[[str], list[dict]]
+class Page(NamedTuple):
+    """What a scanner found on one page: texts with their boxes, and tables as box, grid and detected header."""
 
+    number: int
+    texts: list[tuple[tables.Box, str]]
+    tables: list[tuple[tables.Box, tables.Grid, list[str]]]
 
-def blocks_of(kind: str | None, name: str, content: str, file_type: str = "", pdf: PdfReader | None = None) -> tuple[list[dict], str | None]:
+
+#: Scans the content of a PDF into pages, and reads the text of one page without any; none is shipped.
+PdfReader = Callable[[str], list[Page]]
+TextReader = Callable[[str, int], str]
+OCR_LEAST_CHARS = 50
+
+
+def scanned_blocks(content: str, pdf: PdfReader, ocr: TextReader | None = None) -> list[dict]:
+    """Blocks of all pages in reading order, tables stitched over page ends.
+
+    A text reader is asked only for pages with neither text nor table; what it
+    gives counts from OCR_LEAST_CHARS characters on. Sections carry on.
+    """
+    out: list[dict] = []
+    section = ""
+    for page in pdf(content):
+        if page.texts or page.tables:
+            found, section = tables.page_blocks(page.number, page.texts, page.tables, section)
+            out += found
+        elif ocr and len(text := (ocr(content, page.number) or "").strip()) >= OCR_LEAST_CHARS:
+            out.append({"kind": "text", "text": text, "page": page.number, "section": section})
+    return tables.stitch(out)
+
+
+def blocks_of(kind: str | None, name: str, content: str, file_type: str = "", pdf: PdfReader | None = None, ocr: TextReader | None = None) -> tuple[list[dict], str | None]:
     """Blocks of one file and what is wrong with it (unknown_type, viewer_stub, near_empty, too_few_rows, no_reader)."""
     if kind == "html":
         wrong = html.problem(content)
@@ -44,11 +72,11 @@ def blocks_of(kind: str | None, name: str, content: str, file_type: str = "", pd
                 pass
         return [{"kind": "text", "text": content, "page": None, "section": ""}], None
     if kind == "pdf":
-        return (tables.stitch(pdf(content)), None) if pdf else ([], "no_reader")
+        return (scanned_blocks(content, pdf, ocr), None) if pdf else ([], "no_reader")
     return [], "unknown_type"
 
 
-def document_chunks(files: DataFrame, *, size: int = CHUNK_WORDS, overlap: float = CHUNK_OVERLAP, pdf: PdfReader | None = None) -> DataFrame:
+def document_chunks(files: DataFrame, *, size: int = CHUNK_WORDS, overlap: float = CHUNK_OVERLAP, pdf: PdfReader | None = None, ocr: TextReader | None = None) -> DataFrame:
     """Chunks of files (paper_id, file_type, kind, content); a file that gives none comes out as one row with its problem.
 
     One document is one row, so no grouping is needed; broken files never stop the job.
@@ -58,7 +86,7 @@ def document_chunks(files: DataFrame, *, size: int = CHUNK_WORDS, overlap: float
         for b in batches:
             for name, ext, kind, content in zip(*(b.column(i).to_pylist() for i in range(4))):
                 try:
-                    found, wrong = blocks_of(kind, name or "", content or "", ext or "", pdf)
+                    found, wrong = blocks_of(kind, name or "", content or "", ext or "", pdf, ocr)
                     rows = tables.chunk_blocks(found, size, overlap)
                 except Exception as e:  # noqa: BLE001 - quarantined with its reason
                     rows, wrong = [], f"broken: {type(e).__name__}"

@@ -82,7 +82,7 @@ def primary_filing(landed: DataFrame, form: str, year: int | None = None, key: s
 
 _XBRLI = "{http://www.xbrl.org/2003/instance}"
 _SPACES = (("us-gaap", "fasb.org/us-gaap/"), ("dei", "xbrl.sec.gov/dei/"), ("ifrs-full", "xbrl.ifrs.org/taxonomy/"))
-_INSTANCE = pa.schema([("path", pa.string()), ("tag", pa.string()), ("value", pa.float64()), ("unit", pa.string()), ("period_start", pa.date32()), ("period_end", pa.date32()), ("duration_days", pa.int32()), ("is_instant", pa.bool_())])
+_INSTANCE = pa.schema([("path", pa.string()), ("tag", pa.string()), ("value", pa.float64()), ("unit", pa.string()), ("period_start", pa.date32()), ("period_end", pa.date32()), ("duration_days", pa.int32()), ("is_instant", pa.bool_()), ("problem", pa.string())])
 
 
 def _day(e: ET.Element | None) -> date | None:
@@ -132,7 +132,7 @@ def instance_facts(xml: str, market: str = "US") -> list[dict]:
 
 
 def instances(landed: DataFrame, market: str = "US", key: str = "path", xml: str = "xml") -> DataFrame:
-    """Fact rows of landed instance documents, one document a row; broken documents give none."""
+    """Fact rows of landed instance documents, one document a row; a broken document comes out as one row with its problem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,9 +140,9 @@ def instances(landed: DataFrame, market: str = "US", key: str = "path", xml: str
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     rows += [{"path": k} | f for f in instance_facts(x or "", market)]
-                except ET.ParseError:
-                    continue
+                except ET.ParseError as e:
+                    rows.append({"path": k, "problem": f"broken: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema=_INSTANCE)
 
-    df = landed.select(C(key).alias("path"), C(xml).alias("xml")).mapInArrow(run, "path string, tag string, value double, unit string, period_start date, period_end date, duration_days int, is_instant boolean")
+    df = landed.select(C(key).alias("path"), C(xml).alias("xml")).mapInArrow(run, "path string, tag string, value double, unit string, period_start date, period_end date, duration_days int, is_instant boolean, problem string")
     return df.withColumn("canonical_field", canonical_field(C("tag")))
