@@ -259,11 +259,16 @@ def facts_rollup(s, d):
     return facts.reported(_joined(s, d), fields=None).rollup("market", "form_type").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("ticker").alias("companies"), F.grouping_id().alias("level"))
 
 
-@query(f"SELECT fiscal_period, ticker, count(*) AS lines, sum(length(canonical_field))::BIGINT AS field_chars FROM ({_BEST}) JOIN companies c USING (ticker) GROUP BY 1, 2")
+_FACT_LINE = "'  ' || CASE WHEN length(label) >= 30 THEN label ELSE rpad(label, 30, ' ') END || ' ' || CASE WHEN length(v) >= 18 THEN v ELSE lpad(v, 18, ' ') END || ' ' || coalesce(unit, '')"
+_LABEL = "array_to_string(list_transform(string_split(replace(canonical_field, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_BLOCKS = f"""SELECT ticker, fiscal_period, any_value(name) || ' (' || ticker || ') ' || fiscal_period || chr(10) || repeat('─', 62) || chr(10) || string_agg({_FACT_LINE}, chr(10) ORDER BY canonical_field) AS block
+    FROM (SELECT b.*, c.name, {_LABEL} AS label, CASE WHEN abs(value) >= 1 THEN format('{{:,.2f}}', value) ELSE format('{{:.4f}}', value) END AS v FROM ({_BEST}) b JOIN companies c USING (ticker)) GROUP BY ticker, fiscal_period"""
+
+
+@query(f"SELECT ticker, fiscal_period, md5(block) AS block_md5, length(block) AS chars FROM ({_BLOCKS})")
 def facts_context_block(s, d):
     b = facts.context_block(_best(s, d), read_table(s, d, "companies"))
-    lines = F.slice(F.split("block", "\n"), 3, 1000)
-    return b.select("fiscal_period", "ticker", F.size(lines).cast("long").alias("lines"), F.aggregate(lines, F.lit(0), lambda a, l: a + F.length(F.rtrim(F.substring(l, 3, 30)))).cast("long").alias("field_chars"))
+    return b.select("ticker", "fiscal_period", F.md5("block").alias("block_md5"), F.length("block").cast("long").alias("chars"))
 
 
 @query(f"SELECT ticker, fiscal_period, canonical_field, replace(replace(replace(({_pairs(QUESTIONS)})[canonical_field], '{{name}}', name), '{{ticker}}', ticker), '{{period}}', fiscal_period) AS question FROM ({_best_sql(_READER, columns='ticker, name, fiscal_period, canonical_field')}) WHERE canonical_field IN ({_list(QUESTIONS)})")
@@ -348,13 +353,16 @@ def table_backfill(s, d):
     return read_table(s, d, "chunks").where("content is not null").select("id", F.coalesce("is_table", X.looks_like_table(C("content"))).alias("is_table"))
 
 
-#: Types whose pattern reads alike in both regex dialects: the SQL states these only.
-_COUNTED = ("SSN", "EIN", "EMAIL", "IPv4", "PASSPORT", "IBAN")
+def _redaction_sql() -> str:
+    inner = "SELECT doc_id, text AS x0 FROM documents WHERE text IS NOT NULL"
+    for k, (_, pattern, mark) in enumerate(PII):  # each pattern sees what the earlier ones left
+        inner = f"SELECT *, regexp_replace(x{k}, '{pattern}', '{mark}', 'g') AS x{k + 1} FROM ({inner})"
+    each = ", ".join(f"{{'entity_type': '{n}', 'occurrences': len(regexp_extract_all(x{k}, '{p}'))::INT}}" for k, (n, p, _) in enumerate(PII))
+    return f"SELECT doc_id, e.entity_type, e.occurrences FROM (SELECT doc_id, unnest([{each}]) AS e FROM ({inner})) WHERE e.occurrences > 0 UNION ALL SELECT -1, 'documents', count(*)::INT FROM documents"
 
 
-@query("SELECT doc_id, e.entity_type, e.occurrences FROM (SELECT doc_id, unnest([" + ", ".join(f"{{'entity_type': '{n}', 'occurrences': len(regexp_extract_all(text, '{p}'))::INT}}" for n, p, _ in PII if n in _COUNTED) + "]) AS e FROM documents WHERE text IS NOT NULL) WHERE e.occurrences > 0 UNION ALL SELECT -1, 'documents', count(*)::INT FROM documents")
+@query(_redaction_sql())
 def redaction_counts(s, d):
-    """All ten entity types. The SQL states six of them, so it holds for documents without the other four; all are tested against brute force."""
     docs = read_table(s, d, "documents")
     rows = docs.where("text is not null").select("doc_id", F.explode(X.redaction_counts(C("text"))).alias("e")).select("doc_id", "e.*")
     return rows.union(docs.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(-1).cast("long"), F.lit("documents"), "n"))
@@ -363,14 +371,25 @@ def redaction_counts(s, d):
 _META_CLEAN = "trim(replace(replace(replace(replace(replace(lower(paper_id), '.html', ''), '.htm', ''), '.pdf', ''), '.md', ''), '.txt', ''))"
 
 
+_NAMES_LIST = "[" + ", ".join(f"{{'w': '{w}', 't': '{t}'}}" for w, t in NAME_TICKERS.items()) + "]"
+_FILE_NAMES = f"SELECT DISTINCT paper_id FROM chunks UNION SELECT lower(split_part(name, ' ', 1)) || CASE company_id % 4 WHEN 0 THEN '_annual_10k.pdf' WHEN 1 THEN '.htm' WHEN 2 THEN ' tesla 8-K 2020.txt' ELSE '' END FROM companies UNION SELECT lower(ticker) FROM companies UNION SELECT w.w FROM (SELECT unnest({_NAMES_LIST}) AS w) UNION SELECT w.w || '-20230930-10q.html' FROM (SELECT unnest({_NAMES_LIST}) AS w)"
+
+
 @query(
-    rf"""WITH p AS (SELECT DISTINCT paper_id, {_META_CLEAN} AS c FROM chunks), x AS (SELECT *, nullif(regexp_extract(c, '^([a-z]+)[-_]\d{{8}}', 1), '') AS prefix,
-    try_strptime(nullif(regexp_extract(c, '^[a-z]+[-_](\d{{8}})', 1), ''), '%Y%m%d')::DATE AS e, CASE WHEN regexp_matches(c, '10-k|[_-]10k') THEN '10-K' WHEN regexp_matches(c, '10-q|[_-]10q') THEN '10-Q' WHEN regexp_matches(c, '8-k|[_-]8k') THEN '8-K' END AS form FROM p)
-    SELECT paper_id, coalesce(({_pairs(NAME_TICKERS)})[prefix], upper(prefix)) AS ticker, CASE WHEN ff = '10-K' THEN 'FY' || year(e) WHEN ff = '10-Q' THEN 'Q' || quarter(e) || 'FY' || year(e) END AS fiscal_period, ff AS form_type
-    FROM (SELECT *, coalesce(form, CASE WHEN month(e) IN (6, 9, 12) AND day(e) >= 25 THEN '10-K' ELSE '10-Q' END) AS ff FROM x WHERE prefix IS NOT NULL)"""
+    rf"""WITH p AS (SELECT paper_id, {_META_CLEAN} AS c FROM ({_FILE_NAMES})), x AS (SELECT *, ({_pairs(NAME_TICKERS)})[c] AS exact, nullif(regexp_extract(c, '^([a-z]+)[-_]\d{{8}}', 1), '') AS prefix, list_filter({_NAMES_LIST}, lambda n: contains(c, n.w))[1].t AS word,
+    try_strptime(nullif(regexp_extract(c, '^[a-z]+[-_](\d{{8}})', 1), ''), '%Y%m%d')::DATE AS e, CASE WHEN regexp_matches(c, '10-k|[_-]10k') THEN '10-K' WHEN regexp_matches(c, '10-q|[_-]10q') THEN '10-Q' WHEN regexp_matches(c, '8-k|[_-]8k') THEN '8-K' END AS form FROM p),
+    f AS (SELECT *, exact IS NULL AND prefix IS NOT NULL AS dated, coalesce(form, CASE WHEN month(e) IN (6, 9, 12) AND day(e) >= 25 THEN '10-K' ELSE '10-Q' END) AS ff FROM x)
+    SELECT paper_id, coalesce(exact, ({_pairs(NAME_TICKERS)})[prefix], upper(prefix), word, CASE WHEN regexp_matches(c, '^[a-z]{{1,5}}$') THEN upper(c) END) AS ticker,
+    CASE WHEN dated AND ff = '10-K' THEN 'FY' || year(e) WHEN dated AND ff = '10-Q' THEN 'Q' || quarter(e) || 'FY' || year(e) END AS fiscal_period, CASE WHEN dated THEN ff ELSE form END AS form_type FROM f"""
 )
 def filename_metadata(s, d):
-    p = read_table(s, d, "chunks").select("paper_id").distinct().where(F.lower("paper_id").rlike(r"^[a-z]+[-_]\d{8}"))
+    """All papers, and names made of company names, tickers and known words."""
+    c = read_table(s, d, "companies")
+    first = F.lower(F.get(F.split("name", " "), F.lit(0)))
+    k = C("company_id") % 4
+    made = F.concat(first, F.when(k == 0, "_annual_10k.pdf").when(k == 1, ".htm").when(k == 2, " tesla 8-K 2020.txt").otherwise(""))
+    words = s.createDataFrame([(w,) for w in NAME_TICKERS], "paper_id string")
+    p = read_table(s, d, "chunks").select("paper_id").union(c.select(made)).union(c.select(F.lower("ticker"))).union(words).union(words.select(F.concat("paper_id", F.lit("-20230930-10q.html")))).distinct()
     return p.select("paper_id", periods.filing_metadata(C("paper_id")).alias("m")).select("paper_id", "m.*")
 
 
@@ -498,10 +517,11 @@ def question_intent(s, d):
 
 
 _PFQ = (r"\bq\s*([1-4])\s*(?:of\s*)?(?:fy\s*|fiscal\s*(?:year\s*)?)?(\d{4})\b", r"\b(?:fy|fiscal\s*(?:year\s*)?)\s*(\d{4})\b", r"\b(20\d{2})\b")
+_PERIOD_SQL = f"coalesce('Q' || nullif(regexp_extract(lower(question), '{_PFQ[0]}', 1), '') || 'FY' || regexp_extract(lower(question), '{_PFQ[0]}', 2), 'FY' || nullif(regexp_extract(lower(question), '{_PFQ[1]}', 1), ''), 'FY' || nullif(regexp_extract(lower(question), '{_PFQ[2]}', 1), ''))"
 
 
 @query(
-    f"""SELECT result_id, coalesce('Q' || nullif(regexp_extract(lower(question), '{_PFQ[0]}', 1), '') || 'FY' || regexp_extract(lower(question), '{_PFQ[0]}', 2), 'FY' || nullif(regexp_extract(lower(question), '{_PFQ[1]}', 1), ''), 'FY' || nullif(regexp_extract(lower(question), '{_PFQ[2]}', 1), '')) AS period,
+    f"""SELECT result_id, {_PERIOD_SQL} AS period,
     len(list_distinct(list_filter(regexp_extract_all(lower(coalesce(question, '')), '{_PFQ[2]}', 1)::INT[], lambda y: y > 2021)))::INT AS future_years FROM eval_results"""
 )
 def question_periods(s, d):
@@ -552,10 +572,10 @@ def _places_sql(source: str, text: str, pattern: str, keep: str) -> str:
     return f"SELECT {keep}, i, pm[i] AS found, list_sum(list_transform(pb[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(pm[1:i - 1], lambda x: length(x))), 0) AS start_at FROM ({each})"
 
 
-@query(
-    f"""WITH a AS (SELECT result_id, {_FOLDED.replace('model_answer', "coalesce(model_answer, '')")} AS t, ground_truth_value AS truth, coalesce(({_pairs(_BASES)})[canonical_field], '') AS own, nullif(regexp_extract(fiscal_period, '[0-9]{{4}}', 0), '')::INT AS y FROM eval_results),
+def _attributed_sql(tolerance: float = TOLERANCE) -> str:
+    return f"""WITH a AS (SELECT result_id, {_FOLDED.replace('model_answer', "coalesce(model_answer, '')")} AS t, ground_truth_value AS truth, coalesce(({_pairs(_BASES)})[canonical_field], '') AS own, nullif(regexp_extract(fiscal_period, '[0-9]{{4}}', 0), '')::INT AS y FROM eval_results),
     n AS (SELECT *, TRY_CAST(replace(regexp_extract(found, {_quoted(attribution.NUMBER)}, 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract(found, {_quoted(attribution.NUMBER)}, 2)) {_SCALE} ELSE 1.0 END AS v FROM ({_places_sql('a', 't', attribution.NUMBER, 'result_id, t, truth, own, y')})),
-    c AS (SELECT result_id, t, own, y, v, {_ERR.format('v')} AS err, start_at::INT AS pos, length(regexp_replace(substring(t, 1, start_at::INT), '[^\n]', '', 'g')) AS line FROM n WHERE v > {NOISE_FLOOR} AND {_ERR.format('v')} <= {TOLERANCE}),
+    c AS (SELECT result_id, t, own, y, v, {_ERR.format('v')} AS err, start_at::INT AS pos, length(regexp_replace(substring(t, 1, start_at::INT), '[^\n]', '', 'g')) AS line FROM n WHERE v > {NOISE_FLOOR} AND {_ERR.format('v')} <= {tolerance}),
     w AS (SELECT *, greatest(line - {WINDOW_LINES}, 0) AS low FROM c), x AS (SELECT *, array_to_string(string_split(t, chr(10))[low + 1 : line + {WINDOW_LINES} + 1], chr(10)) AS win, pos - coalesce(list_sum(list_transform(string_split(t, chr(10))[1:low], lambda q: length(q))), 0) - low AS rel FROM w),
     nm AS (SELECT result_id, pos, found, row_number() OVER (PARTITION BY result_id, pos ORDER BY greatest(rel - start_at - length(found), start_at - rel, 0), start_at) AS k FROM ({_places_sql('x', 'win', attribution.NAME, 'result_id, pos, rel')})),
     yr AS (SELECT result_id, pos, bool_or(yy = y) AS has, arg_min(yy, (greatest(rel - start_at - length(found), start_at - rel, 0), start_at)) = any_value(y) AS nearest FROM (SELECT *, regexp_extract(found, '[0-9]{{4}}', 0)::INT AS yy FROM ({_places_sql('x', 'win', attribution.PERIOD, 'result_id, pos, rel, y')})) GROUP BY 1, 2),
@@ -563,7 +583,9 @@ def _places_sql(source: str, text: str, pattern: str, keep: str) -> str:
     WHERE own = '' OR (coalesce(({_pairs(attribution.NAMED)})[lower(nm.found)] = own, false) AND (x.y IS NULL OR yr.has IS NULL OR yr.has OR yr.nearest))),
     b AS (SELECT result_id, arg_min((v, err, name), (err, pos)) AS b FROM (SELECT result_id, v, err, pos, coalesce(name, '') AS name FROM ok) GROUP BY 1)
     SELECT a.result_id, b.b IS NOT NULL AS passed, b.b[1] AS best_match, round(b.b[2] * 100, 3) AS relative_error_pct, own <> '' AS attribution_checked, nullif(b.b[3], '') AS attribution_match FROM a LEFT JOIN b USING (result_id)"""
-)
+
+
+@query(_attributed_sql())
 def attributed_check(s, d):
     return attribution.check_answers(read_table(s, d, "eval_results"))
 

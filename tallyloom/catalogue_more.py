@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.catalogue import _BEST, _SIM, _best, _best_sql, _joined, _pairs, _vectors, query
+from tallyloom.catalogue import _BEST, _BLOCKS, _JVM_WHITE, _JOINED as _RAW, _PERIOD_SQL, _SCOPE_SQL, _SIM, _SQL, _attributed_sql, _best, _best_sql, _joined, _pairs, _vectors, query
 from tallyloom.functions import charts
 from tallyloom.functions import text as X
 from tallyloom.operators import ann, evaluation, facts, lexical, retrieval, scoring
@@ -33,12 +33,24 @@ def event_sessions(s, d):
     return windows.sessions(windows.with_time(read_table(s, d, "events")), "30 minutes", "user_id").withColumns({c: C(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query()
+_LOG = "SELECT *, epoch_us(ts) / 1e6 AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events WHERE user_id IS NOT NULL"
+
+
+@query(
+    f"""WITH RECURSIVE l AS MATERIALIZED ({_LOG}), t AS (SELECT user_id, seconds, event_id, n, 3.0::DOUBLE - 1 AS tokens, true AS allowed FROM l WHERE n = 1 UNION ALL
+    SELECT user_id, seconds, event_id, n, CASE WHEN have >= 1.0 THEN have - 1 ELSE have END, have >= 1.0 FROM (SELECT l.user_id, l.seconds, l.event_id, l.n, least(3.0::DOUBLE, t.tokens + (l.seconds - t.seconds) * (3.0::DOUBLE / 3600.0::DOUBLE)) AS have FROM t JOIN l ON l.user_id = t.user_id AND l.n = t.n + 1))
+    SELECT user_id, seconds, event_id, allowed FROM t"""
+)
 def token_bucket(s, d):
     return state.rate_limited(read_table(s, d, "events"), capacity=3.0, window=3600.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE l AS MATERIALIZED ({_LOG}), t AS (SELECT user_id, seconds, event_id, n, CASE WHEN event_type <> 'error' THEN 'CLOSED' WHEN 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN event_type <> 'error' THEN 0 ELSE 1 END AS failed, 0.0::DOUBLE AS opened, true AS admitted FROM l WHERE n = 1 UNION ALL
+    SELECT user_id, seconds, event_id, n, CASE WHEN NOT let THEN state WHEN ok THEN 'CLOSED' WHEN half OR failed + 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END, CASE WHEN NOT let THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN let AND NOT ok AND (half OR failed + 1 >= 2) THEN seconds ELSE opened END, let
+    FROM (SELECT l.user_id, l.seconds, l.event_id, l.n, l.event_type <> 'error' AS ok, t.state, t.failed, t.opened, NOT (t.state = 'OPEN' AND l.seconds - t.opened < 3600.0) AS let, t.state = 'OPEN' AS half FROM t JOIN l ON l.user_id = t.user_id AND l.n = t.n + 1))
+    SELECT user_id, seconds, event_id, CASE WHEN admitted THEN 'admitted:' ELSE 'refused:' END || state AS outcome FROM t"""
+)
 def circuit_breaker(s, d):
     e = read_table(s, d, "events").withColumn("ok", C("event_type") != "error")
     return state.breaker_states(e, "user_id", "ts", "event_id", "ok", failures=2, rest=3600.0)
@@ -57,21 +69,6 @@ def chart_extract(s, d):
     return c.select("ticker", "fiscal_period", "c.type", "c.title", C("c.x")[0].alias("first_label"), F.size("c.x").alias("labels"), F.round(F.aggregate(C("c.series")[0]["values"], F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
 
 
-@query("SELECT id, len(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '| ')))::INT - 2 AS body_rows, len(string_split(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '| '))[1], ' | '))::INT AS columns FROM (SELECT DISTINCT id, content FROM chunks WHERE is_table AND contains(content, '| --- |')) WHERE len(list_filter(string_split(content, chr(10)), lambda l: starts_with(l, '| '))) > 2")
-def table_shapes(s, d):
-    """Markdown tables of chunks as grids: rows of the body and columns."""
-    c = read_table(s, d, "chunks").where(C("is_table") & F.contains("content", F.lit("| --- |"))).select("id", "content").distinct()
-    lines = F.filter(F.split("content", "\n"), lambda x: F.startswith(x, F.lit("| ")))
-    return c.withColumn("l", lines).where(F.size("l") > 2).select("id", (F.size("l") - 2).alias("body_rows"), F.size(F.split(C("l")[0], r" \| ")).alias("columns"))
-
-
-@query("SELECT doc_id, count(*)::BIGINT AS chunks FROM (SELECT doc_id, unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE ceil((n - 300) / 270)::INT + 1 END)) FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) AS n FROM documents) WHERE n > 0) GROUP BY 1".replace("\\\\", "\\"))
-def document_chunks(s, d):
-    """The ingestion plan over plain texts; documents that are a bare number or blank give no chunk."""
-    docs = read_table(s, d, "documents").select(C("doc_id").cast("string").alias("paper_id"), F.lit("txt").alias("file_type"), F.lit("text").alias("kind"), C("text").alias("content"))
-    return ingest.document_chunks(docs).where("problem is null").groupBy(C("paper_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"))
-
-
 @query("SELECT DISTINCT company_id, form_type, fiscal_period FROM filings EXCEPT SELECT company_id, form_type, fiscal_period FROM filings WHERE source_url IS NULL")
 def get_or_create_filings(s, d):
     """Filings (company, form, period) that a load of all would create where those without an address are stored."""
@@ -101,26 +98,25 @@ def error_summary(s, d):
     return r.select("ticker", scoring.similarity_summary(C("l")).alias("s")).select("ticker", "s.*")
 
 
-@query("SELECT result_id, regexp_replace(regexp_replace(model_answer, '```chart_data\\s*\\n?.*?```', '', 'gs'), '```chart_data.*$', '', 'gs') IS NOT NULL AS shown, length(model_answer) AS chars FROM eval_results WHERE model_answer IS NOT NULL".replace("\\\\", "\\"))
-def visible_answers(s, d):
-    r = read_table(s, d, "eval_results").where("model_answer is not null")
-    return r.select("result_id", X.visible_answer(C("model_answer")).isNotNull().alias("shown"), F.length("model_answer").cast("long").alias("chars"))
-
-
 @query(r"SELECT result_id, md5(v) AS visible, length(v) AS chars FROM (SELECT result_id, trim(regexp_replace(regexp_replace(model_answer, '```chart_data\s*\n?.*?```', '', 'gs'), '```chart_data.*$', '', 'gs'), ' ' || chr(9) || chr(10) || chr(13)) AS v FROM eval_results WHERE model_answer IS NOT NULL)")
 def visible_texts(s, d):
-    """What is left of each answer, as its md5 and length; `visible_answers` says only whether there is any."""
+    """What is left of each answer, as its md5 and length."""
     r = read_table(s, d, "eval_results").where("model_answer is not null").select("result_id", X.visible_answer(C("model_answer")).alias("v"))
     return r.select("result_id", F.md5("v").alias("visible"), F.length("v").cast("long").alias("chars"))
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT result_id, question, {_PERIOD_SQL} AS period FROM eval_results WHERE question IS NOT NULL), t AS ({_SQL['ticker_from_question']}), ends AS (SELECT ticker, max(period_end) AS e FROM ({_RAW}) GROUP BY 1), every AS (SELECT max(period_end) AS e FROM financial_facts),
+    r AS (SELECT q.result_id, question, t.ticker, period, CASE WHEN t.ticker IS NULL THEN every.e ELSE ends.e END AS latest FROM q LEFT JOIN t USING (result_id) LEFT JOIN ends ON ends.ticker = t.ticker, every),
+    k AS (SELECT * FROM r WHERE {_SCOPE_SQL} IS NULL AND NOT coalesce(latest IS NOT NULL AND len(list_filter(regexp_extract_all(lower(question), '\\b(20\\d{{2}})\\b', 1)::INT[], lambda y: y > year(latest))) > 0, false))
+    SELECT result_id AS query_id, md5(concat_ws(chr(10) || chr(10), b.block, 'Question: ' || question)) AS prompt_md5 FROM k LEFT JOIN ({_BLOCKS}) b ON b.ticker = k.ticker AND b.fiscal_period = k.period"""
+)
 def question_prompts(s, d):
     """Routing, abstention, facts block and prompt of every stored question."""
     q = read_table(s, d, "eval_results").where("question is not null").select(C("result_id").alias("query_id"), "question")
     ff, fl, co = (read_table(s, d, t) for t in ("financial_facts", "filings", "companies"))
     route = answering.routed(q, ff, fl, co)
-    return answering.prompts(route, facts.context_block(_best(s, d), co))
+    return answering.prompts(route, facts.context_block(_best(s, d), co)).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @query(
@@ -197,7 +193,13 @@ def win_counts(s, d):
     return evaluation.win_counts(read_table(s, d, "eval_results"), "best_match", "ground_truth_value")
 
 
-@query()
+_GRADED = f"""WITH c AS ({_attributed_sql(1.0)}), r AS (SELECT e.*, c.relative_error_pct AS err, NOT regexp_matches(coalesce(model_answer, ''), '{_JVM_WHITE.replace("[", "[^", 1).rstrip("+")}') AS blank, coalesce(error = 'abstained', false) AS expected, e.passed IS NULL AS fallback, 0.9 - (greatest(coalesce(sources_returned, 1), 1) + 1) / 40.0 AS mean, e.ground_truth_value IS NOT NULL AS has,
+    coalesce(c.relative_error_pct <= coalesce(nullif(tolerance_pct, 0), 2.0), false) AS near, coalesce(regexp_matches(lower(model_answer), '{"|".join(p.replace("'", "''") for p in evaluation.DECLINES)}'), false) AS declined FROM eval_results e JOIN c USING (result_id)),
+    d AS (SELECT result_id AS id, CASE WHEN blank THEN false ELSE mean >= 0.3 END AS retrieval_accuracy, CASE WHEN NOT blank AND has THEN near END AS numerical_accuracy, CASE WHEN NOT blank THEN CASE WHEN has THEN near ELSE NOT fallback END END AS calculation_accuracy, CASE WHEN NOT blank AND NOT fallback THEN true END AS groundedness_accuracy,
+    CASE WHEN NOT blank THEN expected = declined END AS abstention_accuracy FROM r)"""
+
+
+@query(f"{_GRADED} SELECT *, list_bool_and(list_filter([retrieval_accuracy, numerical_accuracy, calculation_accuracy, groundedness_accuracy, abstention_accuracy], lambda x: x IS NOT NULL)) AS overall_pass FROM d")
 def scored_cases(s, d):
     """Five dimensions of stored results, with similarities and judge scores shaped from their columns."""
     r = read_table(s, d, "eval_results").select(

@@ -189,7 +189,7 @@ def pdf_chunks(s, d):
 
 @query(
     r"""WITH c AS (SELECT DISTINCT id, content FROM chunks WHERE is_table), l AS (SELECT id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\s*\|.*\|\s*$')) AS l FROM c),
-    r AS (SELECT id, list_transform(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s|:-]+$')), lambda x: list_transform(string_split(trim(trim(x), '|'), '|'), lambda y: trim(y))) AS r FROM l)
+    r AS (SELECT id, list_transform(list_filter(l, lambda x: NOT regexp_matches(x, '^[\s|:-]+$')), lambda x: list_transform(string_split(trim(trim(x), '|'), '|'), lambda y: trim(regexp_replace(y, '\s+', ' ', 'g')))) AS r FROM l)
     SELECT id, len(r) - 1 AS body_rows, len(r[1]) AS columns, array_to_string(r[1], ' / ') AS header, md5(array_to_string(list_transform(r[2:], lambda x: array_to_string(x, ' / ')), ' // ')) AS body_md5 FROM r WHERE len(r) > 1"""
 )
 def table_grids(s, d):

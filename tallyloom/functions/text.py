@@ -94,11 +94,16 @@ def citation_label(ticker: Column, form: Column, paper: Column, page: Column, se
     return F.concat(F.coalesce(F.nullif(left, F.lit("")), stem), F.lit(" · "), right)
 
 
+#: Matches where any type of personal data does; a text without a match needs no pattern of its own.
+ANY_PII = "|".join(f"(?:{pattern})" for _, pattern, _ in PII)
+
+
 def redact(c: Column) -> Column:
     """The text with personal data replaced, each pattern seeing what the earlier ones left."""
+    out = c
     for _, pattern, mark in PII:
-        c = F.regexp_replace(c, pattern, mark)
-    return c
+        out = F.regexp_replace(out, pattern, mark)
+    return F.when(c.rlike(ANY_PII), out).otherwise(c)
 
 
 def redaction_counts(c: Column) -> Column:
@@ -107,7 +112,8 @@ def redaction_counts(c: Column) -> Column:
     for name, pattern, mark in PII:
         out.append(F.struct(F.lit(name).alias("entity_type"), F.regexp_count(run, F.lit(pattern)).alias("occurrences")))
         run = F.regexp_replace(run, pattern, mark)
-    return F.filter(F.array(*out), lambda x: x["occurrences"] > 0)
+    found = F.filter(F.array(*out), lambda x: x["occurrences"] > 0)
+    return F.when(F.coalesce(c, F.lit("")).rlike(ANY_PII), found).otherwise(F.array().cast("array<struct<entity_type:string,occurrences:int>>"))
 
 
 def clip(c: Column, limit: int, marker: str = "\n...\n") -> Column:

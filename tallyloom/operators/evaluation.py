@@ -68,7 +68,7 @@ def score_cases(cases: DataFrame, key: str = "id") -> DataFrame:
     checked = attribution.check_answers(rows, key, tolerance=1.0).select(key, C("relative_error_pct").alias("_err"))
     r = rows.join(checked, key)
     named = lambda d: F.array_contains("eval_dimensions", d)
-    blank = F.trim(F.coalesce("model_answer", F.lit(""))) == ""
+    blank = ~F.coalesce("model_answer", F.lit("")).rlike(r"(?U)\S")
     expected = F.coalesce("abstention_expected", F.lit(False))
     fallback = F.coalesce(C("judge.judge_used_fallback"), F.lit(True))
     sims = F.coalesce("similarities", F.array().cast("array<double>"))
