@@ -645,7 +645,7 @@ def daily_pass_rate(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from tallyloom import catalogue_more, catalogue_sources  # noqa: F401  register further queries
+    from tallyloom import catalogue_more, catalogue_reports, catalogue_sources  # noqa: F401  register further queries
 
     return dict(_QUERIES)
 

@@ -69,15 +69,6 @@ def chart_extract(s, d):
     return c.select("ticker", "fiscal_period", "c.type", "c.title", C("c.x")[0].alias("first_label"), F.size("c.x").alias("labels"), F.round(F.aggregate(C("c.series")[0]["values"], F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
 
 
-@query("SELECT DISTINCT company_id, form_type, fiscal_period FROM filings EXCEPT SELECT company_id, form_type, fiscal_period FROM filings WHERE source_url IS NULL")
-def get_or_create_filings(s, d):
-    """Filings (company, form, period) that a load of all would create where those without an address are stored."""
-    f = read_table(s, d, "filings")
-    key = ["company_id", "form_type", "fiscal_period"]
-    stored = f.where("source_url is null").select(*key).distinct().alias("r")
-    return f.select(*key).distinct().alias("l").join(stored, facts.same_key(key), "left_anti")
-
-
 @query("WITH r AS (SELECT id, paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM (SELECT DISTINCT id, paper_id FROM chunks)), f AS (SELECT id, paper_id, i, count(*) OVER (PARTITION BY paper_id) AS n FROM r WHERE i < 200) SELECT id, paper_id FROM f WHERE i IN (0, n // 3, (2 * n) // 3)")
 def sampled_chunks(s, d):
     return scoring.sampled_positions(read_table(s, d, "chunks").select("id", "paper_id").distinct(), "paper_id", "id")
@@ -92,12 +83,6 @@ def merged_tracks(s, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT ticker, round(avg(v), 4) AS avg, round(min(v), 4) AS min, round(max(v), 4) AS max FROM (SELECT ticker, relative_error_pct AS v FROM eval_results WHERE relative_error_pct IS NOT NULL) GROUP BY 1")
-def error_summary(s, d):
-    r = read_table(s, d, "eval_results").where("relative_error_pct is not null").groupBy("ticker").agg(F.array_sort(F.collect_list("relative_error_pct")).alias("l"))
-    return r.select("ticker", scoring.similarity_summary(C("l")).alias("s")).select("ticker", "s.*")
-
-
 @query(r"SELECT result_id, md5(v) AS visible, length(v) AS chars FROM (SELECT result_id, trim(regexp_replace(regexp_replace(model_answer, '```chart_data\s*\n?.*?```', '', 'gs'), '```chart_data.*$', '', 'gs'), ' ' || chr(9) || chr(10) || chr(13)) AS v FROM eval_results WHERE model_answer IS NOT NULL)")
 def visible_texts(s, d):
     """What is left of each answer, as its md5 and length."""

@@ -88,6 +88,50 @@ def nearest_period(df: DataFrame, day: str) -> DataFrame:
     return _first(by, ["ticker"], [C("days_off").asc(), C("latest_end").desc(), C("fiscal_period").asc()])
 
 
+def periods_newest_first(best: DataFrame) -> DataFrame:
+    """ticker, fiscal_period, latest_end, place: the labels of a ticker by their latest period end, the newest first, ties by label."""
+    by = best.groupBy("ticker", "fiscal_period").agg(F.max("period_end").alias("latest_end"))
+    return by.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(C("latest_end").desc_nulls_last(), C("fiscal_period").asc())))
+
+
+def periods_of_questions(questions: DataFrame, best: DataFrame, newest: int = 3) -> DataFrame:
+    """query_id, ticker, fiscal_period, place: the labels whose facts a question is answered from.
+
+    questions: query_id, ticker, question and, where known, fiscal_period. The
+    named period stands alone if the ticker has it. Otherwise labels of the
+    years that the question mentions count (all labels if it mentions none),
+    quarters only if they are the mentioned one; annual labels pass any
+    quarter. If nothing is left, the newest labels count.
+    """
+    p = periods_newest_first(best)
+    label = periods.parse_period_label(C("fiscal_period"))
+    asked = F.lower(F.coalesce("question", F.lit("")))
+    q = questions.select("query_id", "ticker", C("fiscal_period").alias("_named") if "fiscal_period" in questions.columns else F.lit(None).cast("string").alias("_named"), periods.years_mentioned(asked).alias("_years"), F.nullif(F.regexp_extract(asked, r"\bq([1-4])\b", 1), F.lit("")).cast("int").alias("_quarter"))
+    fits = label.isNotNull() & ((F.size("_years") == 0) | F.array_contains("_years", label["year"])) & (C("_quarter").isNull() | (label["kind"] != "Q") | (label["quarter"] == C("_quarter")))
+    j = q.join(p, "ticker").withColumn("_rule", F.when(C("fiscal_period") == C("_named"), 0).when(F.coalesce(fits, F.lit(False)), 1).when(C("place") <= newest, 2))
+    j = j.where("_rule is not null").withColumn("_best", F.min("_rule").over(Window.partitionBy("query_id")))
+    return j.where((C("_rule") == C("_best")) | ((C("_best") == 2) & (C("place") <= newest))).select("query_id", "ticker", "fiscal_period", "place")
+
+
+def get_or_create(existing: DataFrame, wanted: DataFrame, key: Sequence[str], ident: str) -> DataFrame:
+    """The wanted keys with their id: that of the stored row, or one after the greatest id for new ones, in the order of their keys.
+
+    Keys are compared with nulls alike; `created` tells the new ones. New ids
+    are ranks within hash buckets added to the counts of the buckets before,
+    so no task numbers all rows.
+    """
+    w = wanted.select(*key).distinct()
+    have = existing.groupBy(*key).agg(F.min(ident).alias(ident))
+    j = w.alias("l").join(have.alias("r"), same_key(key), "left").select(*[C(f"l.{k}").alias(k) for k in key], C(f"r.{ident}").alias(ident))
+    new = j.where(C(ident).isNull()).drop(ident).withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(64)))
+    counts = new.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # at most 64 rows
+    top = existing.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))  # one row
+    ranked = new.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*key))).join(before, "_b").crossJoin(F.broadcast(top))
+    made = ranked.select(*key, (C("_top") + C("_before") + C("_r")).cast(dict(existing.dtypes)[ident]).alias(ident), F.lit(True).alias("created"))
+    return j.where(C(ident).isNotNull()).withColumn("created", F.lit(False)).unionByName(made)
+
+
 def latest_and_prior(best: DataFrame) -> DataFrame:
     """Per ticker and field the latest value, the one before and the change in per cent."""
     w = Window.partitionBy("ticker", "canonical_field").orderBy(C("period_end").asc_nulls_first(), C("fiscal_period").asc(), C("fact_id").asc())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,33 +55,60 @@ def top_k(chunks: DataFrame, vector: Sequence[float], k: int, *, where: Column |
     return best.withColumn("similarity", F.round("similarity", 4)).withColumn("distance", F.round(1 - C("similarity"), 4))
 
 
-#: Questions that ride along with every chunk at once.
-QUESTION_BLOCK = 500
+#: Questions that a task scores at once.
+QUESTION_BLOCK = 2_000
 
 
-def top_k_of_each(chunks: DataFrame, questions: DataFrame, k: int, *, key: str = "id", query: str = "query_id", salts: int = 16, block: int = QUESTION_BLOCK) -> DataFrame:
-    """The k most similar chunks of every question (query_id, vector).
+def top_k_of_each(chunks: DataFrame, questions: DataFrame, k: int, *, key: str = "id", query: str = "query_id", block: int = QUESTION_BLOCK) -> DataFrame:
+    """The k most similar chunks of every question (query_id, vector), ties by key.
 
-    Questions go over the chunks in counted blocks of at most `block`, each as
-    one array beside every chunk, so what is broadcast is bounded. A salted
-    rank keeps k rows of a question and salt before the last rank.
+    Questions go to the tasks in counted blocks of at most `block`. A task
+    scores a batch of chunks against a block as one matrix product and keeps k
+    chunks a question of what it has seen, so that only these leave it; the
+    last rank sees k rows a question and task.
     """
     blocks = max(1, -(-questions.count() // block))
     order = [C("similarity").desc(), C(key).asc()]
+    kinds, asked = dict(chunks.dtypes)[key], dict(questions.dtypes)[query]
     out = None
     for i in range(blocks):
         own = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)
-        packed = own.agg(F.collect_list(F.struct(query, "vector")).alias("_q"))
-        df = chunks.crossJoin(F.broadcast(packed)).select(key, F.col("embedding"), F.explode("_q").alias("_e"))
-        df = df.select(C(f"_e.{query}").alias(query), key, numbers.cosine(C("embedding"), C("_e.vector")).alias("similarity")).where("similarity is not null")
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(query, "_salt").orderBy(*order))).where(C("_r") <= k)
-        df = df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(C("rank") <= k)
+        rows = own.where("vector is not null").select(query, "vector").collect()  # at most a block of questions
+        ids, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+        best = chunks.where(C("embedding").isNotNull()).select(key, "embedding").mapInArrow(partial(_best_of_task, ids=ids, vectors=vectors, k=k, names=(query, key)), f"{query} {asked}, {key} {kinds}, similarity double")
+        df = best.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(C("rank") <= k)
         df = df.select(query, key, "rank", F.round("similarity", 4).alias("similarity"))
         out = df if out is None else out.union(df)
     return out
 
 
+def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list, vectors: np.ndarray, k: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    if not len(ids):
+        return
+    lengths = np.sqrt((vectors**2).sum(axis=1))
+    held: list[list[tuple]] = [[] for _ in ids]
+    kind = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kind = b.schema.field(0).type
+        keys, v = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), float)
+        norm = np.sqrt((v**2).sum(axis=1))[None, :] * lengths[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.where(norm > 0, vectors @ v.T / norm, -np.inf)
+        if sim.shape[1] > k:  # all that reach the k-th similarity, so that ties are decided by key
+            bar = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+        else:
+            bar = np.full(len(ids), -np.inf)
+        for q, least in enumerate(bar):
+            at = np.flatnonzero((sim[q] >= least) & np.isfinite(sim[q]))
+            held[q] = sorted(held[q] + [(-float(sim[q, j]), keys[j]) for j in at])[:k]
+    rows = [(ids[q], key, -s) for q, own in enumerate(held) for s, key in own]
+    if rows:
+        asked, keys, sims = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(keys, kind), pa.array(sims, pa.float64())], names=[*names, "similarity"])
+
+
 def ladder(chunks: DataFrame, vector: Sequence[float], k: int, levels: Sequence[Column], *, key: str = "id") -> DataFrame:
     """Top k of the first filter that any chunk meets, in one scan.
 
@@ -121,6 +150,23 @@ def rerank(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None, k:
     return scored.orderBy(C("rerank_score" if scorer else "similarity").desc(), C(key).asc()).limit(k)
 
 
+def retrieve(chunks: DataFrame, vector: Sequence[float], k: int = 3, *, paper: str | None = None, ticker: str | None = None, period: str | None = None, scope: str | None = None, prefer_tables: bool = False, scorer: Callable[[DataFrame], DataFrame] | None = None, key: str = "id") -> DataFrame:
+    """Two stages: a pool of candidates by similarity, under filters that are relaxed until something is found, then the k best by the scorer.
+
+    A named document makes ticker and period void. With prefer_tables the pool
+    holds tables first and then the k best texts, so that tables aren't crowded
+    out by prose that names the same measure.
+    """
+    given = dict(paper=paper, ticker=None if paper else ticker, period=None if paper else period, scope=scope)
+    pool = candidate_pool(k)
+    if prefer_tables:
+        t = ladder(chunks, vector, pool, relaxation(**given, is_table=True), key=key)
+        hits = merge_unique([t, ladder(chunks, vector, k, relaxation(**given, is_table=False), key=key)], key)
+    else:
+        hits = ladder(chunks, vector, pool, relaxation(**given), key=key)
+    return rerank(hits, scorer, k, key=key)
+
+
 def format_context(hits: DataFrame, by: str, rank: str = "rank") -> DataFrame:
     """Per question the numbered sources as one text; at most k sources a question."""
     place = X.provenance(C("page_number"), C("section"), C("is_table"), C("table_caption"), C("unit_context"))

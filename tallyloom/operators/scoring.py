@@ -82,10 +82,17 @@ def sampled_positions(chunks: DataFrame, document: str, order: str, first: int =
 
 
 def filtered(results: DataFrame, *, outcome: str | None = None, category: str | None = None, dimension: str | None = None, text: str | None = None, flag: str = "passed", in_text: str = "question") -> DataFrame:
-    """Results of an outcome (pass, fail), a category, with a known dimension, or with a text in the question, whatever its case."""
+    """Results of an outcome (pass, fail, abstention, hallucination), a category, with a known dimension, or with a text in the question, whatever its case.
+
+    The flag falls back to `passed` where it is null. Abstention needs
+    abstention_expected, hallucination needs has_hallucination.
+    """
     df = results
-    if outcome:
-        df = df.where(C(flag) if outcome == "pass" else ~F.coalesce(C(flag), F.lit(False)))
+    if outcome in ("pass", "fail"):
+        ok = F.coalesce(C(flag), C("passed"), F.lit(False))
+        df = df.where(ok if outcome == "pass" else ~ok)
+    elif outcome:
+        df = df.where(F.coalesce(C({"abstention": "abstention_expected", "hallucination": "has_hallucination"}[outcome]), F.lit(False)))
     if category:
         df = df.where(C("category") == category)
     if dimension:
@@ -95,6 +102,18 @@ def filtered(results: DataFrame, *, outcome: str | None = None, category: str |
     return df
 
 
+def chosen_cases(cases: DataFrame, *, category: str | None = None, dimension: str | None = None, paper: str | None = None, first: int | None = None, order: str = "id") -> DataFrame:
+    """Cases of a category, with a dimension among theirs, of documents whose id holds a text; the first of them by id if a number is given."""
+    df = cases
+    if category:
+        df = df.where(C("category") == category)
+    if dimension:
+        df = df.where(F.array_contains("eval_dimensions", dimension))
+    if paper:
+        df = df.where(F.contains(F.lower("paper_id"), F.lit(paper.lower())))
+    return df.orderBy(order).limit(first) if first else df
+
+
 def in_first_appearance(results: DataFrame, category: str, position: str) -> DataFrame:
     """Categories in the order in which they first appear."""
     return results.groupBy(category).agg(F.min(position).alias("first_at")).orderBy("first_at", category)
