@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.catalogue import _BEST, _BLOCKS, _JVM_WHITE, _JOINED as _RAW, _PERIOD_SQL, _SCOPE_SQL, _SIM, _SQL, _attributed_sql, _best, _best_sql, _joined, _pairs, _vectors, query
+from tallyloom.catalogue import _BEST, _BLOCKS, _EMB, _JVM_WHITE, _JOINED as _RAW, _PERIOD_SQL, _SCOPE_SQL, _SIM, _SQL, _attributed_sql, _best, _best_sql, _joined, _pairs, _vectors, query
 from tallyloom.functions import charts
 from tallyloom.functions import text as X
 from tallyloom.operators import ann, evaluation, facts, lexical, retrieval, scoring
@@ -45,6 +45,26 @@ def token_bucket(s, d):
     return state.rate_limited(read_table(s, d, "events"), capacity=3.0, window=3600.0)
 
 
+@query(
+    f"""WITH RECURSIVE l AS MATERIALIZED ({_LOG}), t AS (SELECT user_id, seconds, event_id, n, event_type AS served, seconds AS at_s, true AS fetched FROM l WHERE n = 1 UNION ALL
+    SELECT l.user_id, l.seconds, l.event_id, l.n, CASE WHEN l.seconds - t.at_s >= 7200 THEN l.event_type ELSE t.served END, CASE WHEN l.seconds - t.at_s >= 7200 THEN l.seconds ELSE t.at_s END, l.seconds - t.at_s >= 7200 FROM t JOIN l ON l.user_id = t.user_id AND l.n = t.n + 1)
+    SELECT user_id, seconds, event_id, CASE WHEN fetched THEN 'fetched:' ELSE 'cached:' END || served AS served FROM t"""
+)
+def cached_reads(s, d):
+    """Each user's events read through a cache of two hours."""
+    return state.cached_reads(read_table(s, d, "events"), "user_id", "ts", "event_id", "event_type", ttl=7200.0)
+
+
+@query(
+    """WITH r AS (SELECT user_id, ts::DATE AS day, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS n FROM events), g AS (SELECT user_id, day, min(n) FILTER (ok) AS hit, max(n) AS most FROM r WHERE n <= 3 GROUP BY ALL)
+    SELECT user_id, day, coalesce(hit, most)::INT AS tried, CASE coalesce(hit, most) WHEN 1 THEN 0.0 WHEN 2 THEN 2.0 ELSE 6.0 END::DOUBLE AS waited, hit IS NOT NULL AS answered FROM g"""
+)
+def retried_calls(s, d):
+    """Each user's events of a day as attempts of one call."""
+    e = read_table(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", (C("event_type") != "error").alias("ok"))
+    return state.retried(e, ["user_id", "day"], "event_id", "ok")
+
+
 @query(
     f"""WITH RECURSIVE l AS MATERIALIZED ({_LOG}), t AS (SELECT user_id, seconds, event_id, n, CASE WHEN event_type <> 'error' THEN 'CLOSED' WHEN 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN event_type <> 'error' THEN 0 ELSE 1 END AS failed, 0.0::DOUBLE AS opened, true AS admitted FROM l WHERE n = 1 UNION ALL
     SELECT user_id, seconds, event_id, n, CASE WHEN NOT let THEN state WHEN ok THEN 'CLOSED' WHEN half OR failed + 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END, CASE WHEN NOT let THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN let AND NOT ok AND (half OR failed + 1 >= 2) THEN seconds ELSE opened END, let
@@ -161,11 +181,23 @@ def rank_fusion(s, d):
 
 @query()
 def approximate_topk(s, d):
-    """Hashed hyperplanes over every vector, for each whose id is divisible by 50; recall against the scan is tested."""
-    e, v = _vectors(s, d)
-    ix = ann.HyperplaneIndex(len(v))
+    """Nearest cells of every vector, for each whose id is divisible by 50; recall against the scan is tested and stated by `index_recall`."""
+    e = read_table(s, d, "embeddings")
+    ix = ann.CellIndex.fit(e, "vec_id")
+    questions = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("vector"))
+    return ix.search_each(ix.build(e, "vec_id"), questions, 10, "vec_id")
+
+
+@query("SELECT count(*) AS questions, true AS recall_ok, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS indexed FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(s, d):
+    """Whether the index finds at least nine tenths of what the scan finds, and how many rows it holds."""
+    e = read_table(s, d, "embeddings")
     questions = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("vector"))
-    return ix.search_each(ix.build(e, "vec_id"), e, questions, 10, "vec_id")
+    index = ann.CellIndex.fit(e, "vec_id").build(e, "vec_id")
+    exact, got = retrieval.top_k_of_each(e, questions, 10, key="vec_id"), approximate_topk(s, d)
+    j = exact.select("query_id", "vec_id").join(got.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    found = j.agg(F.count_distinct("query_id").alias("questions"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+    return found.crossJoin(F.broadcast(index.agg(F.count_distinct("vec_id").alias("indexed"))))  # one row each
 
 
 @query("SELECT result_id, coalesce(regexp_matches(lower(model_answer), '" + "|".join(p.replace("'", "''") for p in evaluation.DECLINES) + "'), false) AS declines FROM eval_results")
@@ -173,6 +205,18 @@ def declining_answers(s, d):
     return read_table(s, d, "eval_results").select("result_id", evaluation.declines(C("model_answer")).alias("declines"))
 
 
+@query(
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, CASE WHEN label % 5 > 0 THEN 'T' || (label % 4) END AS t, 'FY' || (2020 + label % 7) AS p FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], v) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_inner_product(v, v)) AS sim, CASE WHEN t IS NULL THEN 0 WHEN fiscal_period = p THEN 0 ELSE 1 END AS rung FROM ({_EMB}) e JOIN q ON q.t IS NULL OR q.t = e.ticker),
+    r AS (SELECT *, min(rung) OVER (PARTITION BY query_id) AS least FROM s) SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id))::INT AS rank, round(sim, 4) AS similarity FROM r WHERE rung = least QUALIFY rank <= 3"""
+)
+def question_hits(s, d):
+    """Sources of a table of questions: of the company and period where given, else of the company, else of all."""
+    e, _ = _vectors(s, d)
+    q = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), F.when(C("label") % 5 > 0, C("ticker")).alias("ticker"), F.concat(F.lit("FY"), 2020 + C("label") % 7).alias("fiscal_period"), C("embedding").alias("vector"))
+    return answering.hits_of(q, e, 3, key="vec_id").select("query_id", "vec_id", "rank", F.round("similarity", 4).alias("similarity"))
+
+
 @query("SELECT winner, count(*) AS n FROM (SELECT CASE WHEN best_match > ground_truth_value + 0.005 THEN 'a' WHEN ground_truth_value > best_match + 0.005 THEN 'b' ELSE 'tie' END AS winner FROM eval_results WHERE best_match IS NOT NULL AND ground_truth_value IS NOT NULL) GROUP BY 1")
 def win_counts(s, d):
     return evaluation.win_counts(read_table(s, d, "eval_results"), "best_match", "ground_truth_value")

@@ -104,7 +104,7 @@ def instance_facts(s, d):
     fact = F.concat(F.lit("<"), name, F.lit(' contextRef="c'), "fact_id", F.lit('"'), F.when(C("unit").isNotNull(), F.concat(F.lit(' unitRef="u'), "fact_id", F.lit('"'))).otherwise(""), F.lit(">"), C("value").cast("string"), F.lit("</"), name, F.lit(">"))
     body = v.groupBy("filing_id").agg(F.concat_ws("", F.collect_list(F.concat(context, unit, fact))).alias("b"))
     landed = body.select(F.concat(F.lit("filing-"), "filing_id").alias("path"), F.concat(F.lit('<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:g="http://fasb.org/us-gaap/2023">'), "b", F.lit("</xbrl>")).alias("xml"))
-    return edgar.instances(landed).drop("problem")
+    return edgar.instances(landed)
 
 
 # ---------------------------------------------------------------- pages and grids

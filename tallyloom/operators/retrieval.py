@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyloom.functions import numbers, text as X
 
@@ -75,14 +76,15 @@ def top_k_of_each(chunks: DataFrame, questions: DataFrame, k: int, *, key: str =
         own = questions if blocks == 1 else questions.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == i)
         rows = own.where("vector is not null").select(query, "vector").collect()  # at most a block of questions
         ids, vectors = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-        best = chunks.where(C("embedding").isNotNull()).select(key, "embedding").mapInArrow(partial(_best_of_task, ids=ids, vectors=vectors, k=k, names=(query, key)), f"{query} {asked}, {key} {kinds}, similarity double")
+        best = chunks.where(C("embedding").isNotNull()).select(key, "embedding").mapInArrow(partial(best_of_task, ids=ids, vectors=vectors, k=k, names=(query, key), asked_kind=to_arrow_type(questions.schema[query].dataType)), f"{query} {asked}, {key} {kinds}, similarity double")
         df = best.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(C("rank") <= k)
         df = df.select(query, key, "rank", F.round("similarity", 4).alias("similarity"))
         out = df if out is None else out.union(df)
     return out
 
 
-def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list, vectors: np.ndarray, k: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def best_of_task(batches: Iterator[pa.RecordBatch], ids: list, vectors: np.ndarray, k: int, names: tuple[str, str], asked_kind: pa.DataType, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """For each question the k best of a task's chunks; `wanted` tells by question which cells (the third column) count."""
     if not len(ids):
         return
     lengths = np.sqrt((vectors**2).sum(axis=1))
@@ -96,6 +98,8 @@ def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list, vectors: np.ndar
         norm = np.sqrt((v**2).sum(axis=1))[None, :] * lengths[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
             sim = np.where(norm > 0, vectors @ v.T / norm, -np.inf)
+        if wanted is not None:
+            sim = np.where(wanted[:, b.column(2).to_numpy()], sim, -np.inf)
         if sim.shape[1] > k:  # all that reach the k-th similarity, so that ties are decided by key
             bar = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
         else:
@@ -106,7 +110,7 @@ def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list, vectors: np.ndar
     rows = [(ids[q], key, -s) for q, own in enumerate(held) for s, key in own]
     if rows:
         asked, keys, sims = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(keys, kind), pa.array(sims, pa.float64())], names=[*names, "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(asked, asked_kind), pa.array(keys, kind), pa.array(sims, pa.float64())], names=[*names, "similarity"])
 
 
 def ladder(chunks: DataFrame, vector: Sequence[float], k: int, levels: Sequence[Column], *, key: str = "id") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import charts
+from tallyloom.functions import charts, numbers
 from tallyloom.functions import text as X
 from tallyloom.operators import facts, retrieval, routing
 from tallyloom.session import materialize
@@ -42,6 +42,55 @@ def prompts(route: DataFrame, blocks: DataFrame, hits: DataFrame | None = None)
     return r.select("query_id", F.concat_ws("\n\n", "block", F.concat(F.lit("Context:\n"), "context"), F.concat(F.lit("Question: "), "question")).alias("prompt"))
 
 
+def hits_of(questions: DataFrame, chunks: DataFrame, k: int = 3, *, key: str = "id") -> DataFrame:
+    """query_id, rank, similarity and the chunk of the k most similar chunks of every question (query_id, ticker, fiscal_period, vector).
+
+    A question with a ticker looks at this company's chunks: those of its
+    period if there are any, else all. Others look at all chunks. Company and
+    question meet by an equi-join; only keys and scores are ranked, and the
+    chunks of the k best are joined at the end.
+    """
+    own = questions.where("ticker is not null").select("query_id", "ticker", C("fiscal_period").alias("_period"), "vector")
+    near = chunks.select(key, "ticker", "fiscal_period", "embedding").join(own, "ticker").withColumn("similarity", numbers.cosine(C("embedding"), C("vector"))).where("similarity is not null")
+    rung = F.when(C("fiscal_period") == C("_period"), 0).otherwise(1)
+    near = near.select("query_id", key, "similarity", rung.alias("_rung"))
+    order = ["_rung", C("similarity").desc(), C(key).asc()]
+    salted = near.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(16)))
+    salted = salted.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))).where(C("_n") <= k)
+    best = salted.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).withColumn("_least", F.min("_rung").over(Window.partitionBy("query_id")))
+    best = best.where((C("_n") <= k) & (C("_rung") == C("_least"))).select("query_id", key, C("_n").alias("rank"), "similarity")
+    rest = questions.where("ticker is null").select("query_id", "vector")
+    every = retrieval.top_k_of_each(chunks, rest, k, key=key).select("query_id", key, "rank", "similarity")
+    return best.unionByName(every).join(chunks.drop("embedding", "similarity"), key)
+
+
+def generated(questions: DataFrame, chunks: DataFrame, fact_rows: DataFrame, filings: DataFrame, companies: DataFrame, models: list[Model], *, k: int = 3) -> DataFrame:
+    """Questions (query_id, question, vector) to answers: query_id, abstain, answer, model_no, text, chart, chart_grounded.
+
+    Routing and abstention, facts and sources, prompts, the models in turn,
+    and the parts of the answer. Questions to abstain from get no prompt and no
+    answer.
+    """
+    route = materialize(routed(questions, fact_rows, filings, companies), "answers-route")
+    asked = route.where("abstain is null").join(questions.select("query_id", "vector"), "query_id")
+    best = facts.best_fact(facts.reported(facts.with_filings(fact_rows, filings, companies)))
+    said = materialize(answered(prompts(route, facts.context_block(best, companies), hits_of(asked, chunks, k)), models), "answers-said")
+    parts = finished(said.join(route.select("query_id", "ticker"), "query_id").select("query_id", "ticker", "answer"), best)
+    return route.select("query_id", "abstain").join(said, "query_id", "left").join(parts, "query_id", "left")
+
+
+#: What a standard report asks for; the instruction of `report_prompts` if none is given.
+REPORT = "Write a report on this filing: what the company does, its results against the year before, its cash flows and debt, its risks, and what the filing leaves open. Cite the numbered sources."
+
+
+def report_prompts(papers: DataFrame, chunks: DataFrame, k: int = 6, instruction: str = REPORT) -> DataFrame:
+    """paper_id, prompt: the instruction with the k chunks of each document that are most similar to the document's vector (paper_id, vector)."""
+    near = chunks.join(papers.select("paper_id", "vector"), "paper_id").withColumn("similarity", numbers.cosine(C("embedding"), C("vector"))).where("similarity is not null")
+    hits = near.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(C("similarity").desc(), C("id").asc()))).where(C("rank") <= k)
+    context = retrieval.format_context(hits.withColumn("_of", C("paper_id")), "_of").withColumnRenamed("_of", "paper_id")
+    return papers.select("paper_id").join(context, "paper_id", "left").select("paper_id", F.concat_ws("\n\n", F.concat(F.lit("Context:\n"), "context"), F.lit(instruction)).alias("prompt"))
+
+
 def answered(asked: DataFrame, models: list[Model]) -> DataFrame:
     """query_id, answer, model_no of the first model with an answer that isn't blank; prompts that none answers get null.
 

@@ -6,6 +6,7 @@ import csv
 import io
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from tallyloom.fixed import CHUNK_OVERLAP, CHUNK_WORDS
 from tallyloom.functions import periods
 from tallyloom.functions import text as X
+from tallyloom.operators import facts as fact_rows
 from tallyloom.operators import tables
+from tallyloom.session import materialize
 from tallyloom.sources import html
 
 C = F.col
@@ -111,3 +114,25 @@ def stored_chunks(chunks: DataFrame, user_id: str) -> DataFrame:
 
 def quarantined(chunks: DataFrame) -> DataFrame:
     return chunks.where("problem is not null").select("paper_id", "file_type", "problem")
+
+
+def load(files: DataFrame, store, user_id: str, *, facts: DataFrame | None = None, write_facts: Callable[[DataFrame], None] | None = None, skip_chunks: bool = False, skip_facts: bool = False, dry_run: bool = False, **how) -> DataFrame:
+    """Loads files and facts at once; one row a track (chunks, facts, problems) with how many documents and rows it has.
+
+    store: a `ChunkStore`; documents replace what it holds of them. facts go to
+    `write_facts`, NaN values as none. Either track can be left out. A dry run
+    only counts.
+    """
+    counts = []
+    if not skip_chunks:
+        made = materialize(document_chunks(files, **how), "load-chunks")
+        rows = stored_chunks(made, user_id)
+        if not dry_run:
+            store.replace(rows)
+        counts += [rows.agg(F.lit("chunks").alias("track"), F.count_distinct("paper_id").alias("documents"), F.count(F.lit(1)).alias("rows")), quarantined(made).agg(F.lit("problems").alias("track"), F.count_distinct("paper_id").alias("documents"), F.count(F.lit(1)).alias("rows"))]
+    if not skip_facts and facts is not None:
+        landed = fact_rows.keep_earliest(fact_rows.landed(facts))
+        if not dry_run and write_facts:
+            write_facts(landed)
+        counts.append(landed.agg(F.lit("facts").alias("track"), F.count_distinct("filing_id").alias("documents"), F.count(F.lit(1)).alias("rows")))
+    return reduce(DataFrame.union, counts) if counts else files.sparkSession.createDataFrame([], "track string, documents long, rows long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of their own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     d = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
     spark.sparkContext.setCheckpointDir(d)
@@ -51,8 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Deletes all tables that `materialize` has written so far; for drivers that live long, once their results are stored."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -61,15 +64,15 @@ def _remove_written() -> None:
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(release)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, which cuts its lineage.
 
     The copy is a compressed columnar table, so later reads prune columns, and
-    it survives the loss of any executor. Written tables are deleted when the
-    driver process ends.
+    it survives the loss of any executor. Written tables are deleted by `release`
+    or when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"

@@ -132,7 +132,17 @@ def instance_facts(xml: str, market: str = "US") -> list[dict]:
 
 
 def instances(landed: DataFrame, market: str = "US", key: str = "path", xml: str = "xml") -> DataFrame:
-    """Fact rows of landed instance documents, one document a row; a broken document comes out as one row with its problem."""
+    """Fact rows of landed instance documents, one document a row; `broken_instances` tells of those that can't be read."""
+    df = _instances(landed, market, key, xml).where("problem is null").drop("problem")
+    return df.withColumn("canonical_field", canonical_field(C("tag")))
+
+
+def broken_instances(landed: DataFrame, key: str = "path", xml: str = "xml") -> DataFrame:
+    """path, problem of the instance documents that can't be read."""
+    return _instances(landed, "US", key, xml).where("problem is not null").select("path", "problem")
+
+
+def _instances(landed: DataFrame, market: str, key: str, xml: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,5 +154,4 @@ def instances(landed: DataFrame, market: str = "US", key: str = "path", xml: str
                     rows.append({"path": k, "problem": f"broken: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema=_INSTANCE)
 
-    df = landed.select(C(key).alias("path"), C(xml).alias("xml")).mapInArrow(run, "path string, tag string, value double, unit string, period_start date, period_end date, duration_days int, is_instant boolean, problem string")
-    return df.withColumn("canonical_field", canonical_field(C("tag")))
+    return landed.select(C(key).alias("path"), C(xml).alias("xml")).mapInArrow(run, "path string, tag string, value double, unit string, period_start date, period_end date, duration_days int, is_instant boolean, problem string")

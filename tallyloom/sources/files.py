@@ -66,6 +66,22 @@ def redaction_log(texts: DataFrame, source: str, text: str = "text") -> DataFram
     return e.select(F.current_timestamp().alias("ts"), F.lit(source).alias("source"), "e.entity_type", "e.occurrences", F.lit("regex").alias("engine"), "snippet")
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends rows of `query_log` or `redaction_log` as JSON lines; a stream hands each batch to it."""
+    rows.write.mode("append").json(path)
+
+
+def run_envelope(results: DataFrame, *, mode: str, model: str | None = None) -> DataFrame:
+    """One row: run_timestamp, mode, model, cases, rate and the results, ordered by their first column, as run files hold them.
+
+    A run file is one document by its format; runs too large for one are
+    written with `write_run`, one row a result.
+    """
+    first = results.columns[0]
+    packed = F.array_sort(F.collect_list(F.struct(first, *[c for c in results.columns if c != first]))).alias("results")
+    return results.agg(packed, F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed")).select(F.current_timestamp().alias("run_timestamp"), F.lit(mode).alias("mode"), F.lit(model).cast("string").alias("model"), "total", F.round(F.try_divide(100.0 * C("passed"), "total"), 1).alias("pass_pct"), "results")
+
+
 def export_csv(df: DataFrame, columns: list[str], path: str) -> None:
     """Those of the columns that exist, as CSV with a header."""
     df.select(*[c for c in columns if c in df.columns]).write.mode("overwrite").option("header", "true").csv(path)

@@ -27,6 +27,18 @@ def sessions(events: DataFrame, gap: str, *by: str) -> DataFrame:
     return events.groupBy(F.session_window("at", gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(C("w.start").alias("session_start"), C("w.end").alias("session_end"), *by, "n")
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Events of two streams (key, at, ...) with one key whose times lie at most `within` apart: key, left_at, right_at and the other columns.
+
+    Both watermarks and the bound on the times let Spark drop rows that can't
+    meet any more, so the state stays bounded.
+    """
+    l = left.withWatermark("at", late).withColumnRenamed("at", "left_at").withColumnRenamed(key, "_l")
+    r = right.withWatermark("at", late).withColumnRenamed("at", "right_at").withColumnRenamed(key, "_r")
+    near = (C("_l") == C("_r")) & (C("right_at") >= C("left_at") - F.expr(f"INTERVAL {within}")) & (C("right_at") <= C("left_at") + F.expr(f"INTERVAL {within}"))
+    return l.join(r, near).withColumnRenamed("_l", key).drop("_r")
+
+
 def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Reads the Parquet files that are new since the last run and hands them on in batches, each once."""
     return spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -67,6 +67,8 @@ def test_instance_documents(spark):
     <context id="s"><entity><segment>x</segment></entity><period><instant>2024-12-31</instant></period></context><context id="p"><entity/><period><instant>2024-12-31</instant></period></context>
     <unit id="u"><measure>iso4217:USD</measure></unit><unit id="e"><divide><unitNumerator><measure>iso4217:USD</measure></unitNumerator><unitDenominator><measure>xbrli:shares</measure></unitDenominator></divide></unit>
     <g:Revenues contextRef="d" unitRef="u">100</g:Revenues><g:Assets contextRef="p" unitRef="none">7.5</g:Assets><g:Assets contextRef="s" unitRef="u">1</g:Assets><g:EarningsPerShareBasic contextRef="d" unitRef="e">1.5</g:EarningsPerShareBasic><g:Policy contextRef="d">text</g:Policy><i:Revenue contextRef="d" unitRef="u">9</i:Revenue></xbrl>"""
+    broken = edgar.broken_instances(spark.createDataFrame([("a.xml", xml), ("b.xml", "<broken"), ("c.xml", None)], "path string, xml string")).collect()
+    assert sorted(r.path for r in broken) == ["b.xml", "c.xml"] and all(r.problem.startswith("broken: ") for r in broken)
     rows = {r.tag: r for r in edgar.instances(spark.createDataFrame([("a.xml", xml), ("b.xml", "<broken"), ("c.xml", None)], "path string, xml string")).collect()}
     assert set(rows) == {"us-gaap:Revenues", "us-gaap:Assets", "us-gaap:EarningsPerShareBasic"}
     assert (rows["us-gaap:Revenues"].duration_days, rows["us-gaap:Assets"].unit, rows["us-gaap:EarningsPerShareBasic"].unit, rows["us-gaap:Assets"].canonical_field) == (365, "USD", "USD/share", "total_assets")

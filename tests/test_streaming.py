@@ -70,3 +70,59 @@ def test_windowed_stream_with_watermark(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda rows: sorted((str(r.window_start), r.n) for r in rows)
     assert key(spark.table("win").collect()) == key(windows.tumbling(windows.with_time(ev), "1 minute").collect())
+
+
+def run_stream(spark, tmp_path, rows, schema, make, name):
+    src = str(tmp_path / "src")
+    rows.coalesce(1).write.parquet(src)
+    q = make(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_breaker_stream_agrees_with_batch(spark, tmp_path):
+    df, _ = log(spark)
+    got = run_stream(spark, tmp_path, df.select("event_id", "user_id", "ts", "ok"), "event_id long, user_id long, ts timestamp, ok boolean", lambda s: state.breaker_stream(s, "user_id", "ts", "event_id", "ok", 2, 20.0), "breakers")
+    assert {(r.event_id, r.outcome) for r in got} == {(r.event_id, r.outcome) for r in state.breaker_states(df, "user_id", "ts", "event_id", "ok", 2, 20.0).collect()}
+
+
+def test_visible_stream(spark, tmp_path):
+    parts = ["Up ```chart", "_data\n{1}", "\n``` down", "."]
+    df = spark.createDataFrame([(k, 7, k + 1, p) for k, p in enumerate(parts)], "n long, answer long, s long, delta string").withColumn("ts", F.timestamp_seconds("s")).select("n", "answer", "ts", "delta")
+    got = run_stream(spark, tmp_path, df, "n long, answer long, ts timestamp, delta string", lambda s: state.visible_stream(s, "answer", "ts", "n", "delta"), "visible")
+    assert "".join(r.shown for r in sorted(got, key=lambda r: r.n)) == "Up  down."
+
+
+def test_state_is_dropped_when_it_says_nothing_any_more(spark, tmp_path):
+    """A second file lies far behind the watermark's reach: the first key's state is gone, and its answer the same."""
+    src = tmp_path / "src"
+    make = lambda rows: spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
+    make([(1, 1, 100), (2, 1, 101)]).write.mode("append").parquet(str(src))
+    for k in range(3):
+        make([(10 + k, 2, 100_000 * (k + 1))]).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(str(src))
+        q = state.rate_limited_stream(stream, capacity=1.0, window=60.0, late="10 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        held = q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else None
+    got = {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: True, 2: False, 10: True, 11: True, 12: True} and (held is None or held <= 1)
+
+
+def test_streams_joined_in_time(spark, tmp_path):
+    make = lambda n, rows: spark.createDataFrame(rows, "user_id long, s long, what string").withColumn("at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(str(tmp_path / n))
+    make("a", [(1, 100, "x"), (1, 900, "y"), (2, 100, "z")])
+    make("b", [(1, 130, "p"), (1, 1_000, "q"), (3, 100, "r")])
+    read = lambda n, c: spark.readStream.schema("user_id long, what string, at timestamp").parquet(str(tmp_path / n)).withColumnRenamed("what", c)
+    q = windows.joined(read("a", "left_what"), read("b", "right_what"), "user_id", "60 SECONDS").writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.user_id, r.left_what, r.right_what) for r in spark.table("pairs").collect()] == [(1, "x", "p")]
+
+
+def test_retries_and_cache(spark):
+    df = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 1, False), ("b", 2, None), ("b", 3, False), ("b", 4, True), ("c", 1, True)], "k string, n int, ok boolean")
+    assert {r.k: tuple(r)[1:] for r in state.retried(df, ["k"], "n", "ok").collect()} == {"a": (2, 2.0, True), "b": (3, 6.0, False), "c": (1, 0.0, True)}
+    step, s, got = state.cache_step(10.0), None, []
+    for x in ((0, "a"), (9, "b"), (10, "c"), (15, "d"), (20, "e")):
+        s, r = step(s, x)
+        got.append(r)
+    assert got == [("a", True), ("a", False), ("c", True), ("c", False), ("e", True)]
