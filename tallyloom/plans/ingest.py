@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.fixed import CHUNK_OVERLAP, CHUNK_WORDS
 from tallyloom.functions import periods
 from tallyloom.functions import text as X
+from tallyloom.operators import chunking
 from tallyloom.operators import facts as fact_rows
 from tallyloom.operators import tables
 from tallyloom.session import materialize
@@ -82,8 +83,29 @@ def blocks_of(kind: str | None, name: str, content: str, file_type: str = "", pd
 def document_chunks(files: DataFrame, *, size: int = CHUNK_WORDS, overlap: float = CHUNK_OVERLAP, pdf: PdfReader | None = None, ocr: TextReader | None = None) -> DataFrame:
     """Chunks of files (paper_id, file_type, kind, content); a file that gives none comes out as one row with its problem.
 
-    One document is one row, so no grouping is needed; broken files never stop the job.
+    One document is one row, so no grouping is needed; broken files never stop
+    the job. Plain texts are one block, whose windows are column expressions;
+    the other kinds need their trees and grids and go through Python.
     """
+    plain = (C("kind") == "text") & ~F.coalesce(C("file_type").isin("json", "xml"), F.lit(False))
+    return _plain_chunks(files.where(plain), size, overlap).unionByName(_block_chunks(files.where(~F.coalesce(plain, F.lit(False))), size, overlap, pdf, ocr))
+
+
+def _plain_chunks(files: DataFrame, size: int, overlap: float) -> DataFrame:
+    """A bare page number is no text; see `tables.without_running_lines`."""
+    text = F.coalesce("content", F.lit(""))
+    f = files.select("paper_id", "file_type", F.when(~F.trim(text).rlike(r"(?U)^\s*\d{1,4}\s*$"), text).otherwise("").alias("text"))
+    found = chunking.word_windows(f.withColumn("_of", F.struct("paper_id", "file_type")), "_of", "text", size, overlap)
+    none = lambda kind: F.lit(None).cast(kind)
+    made = found.select(
+        C("_of.paper_id").alias("paper_id"), C("_of.file_type").alias("file_type"), none("string").alias("problem"), C("chunk_no").cast("int").alias("chunk_id"), "text", C("word_count").cast("int").alias("word_count"), none("int").alias("page_number"), F.lit(False).alias("is_table"),
+        F.lit("").alias("table_caption"), F.lit("").alias("unit_context"), F.lit("").alias("section"), X.statement_scope(C("text")).alias("statement_scope"), X.content_hash(C("text")).alias("content_hash"),
+    )
+    empty = f.where(F.size(X.words_of(C("text"))) == 0).select("paper_id", "file_type", F.lit("empty").alias("problem"))
+    return made.unionByName(empty, allowMissingColumns=True)
+
+
+def _block_chunks(files: DataFrame, size: int, overlap: float, pdf: PdfReader | None, ocr: TextReader | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

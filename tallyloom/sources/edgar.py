@@ -58,9 +58,15 @@ def cik_of(names: DataFrame, landed: DataFrame, key: str = "query", json: str =
     q = names.select(key, F.upper(F.trim(key)).alias("t"))
     exact = q.join(entries.select("t", "cik", F.lit(1).alias("rank"), "pos"), "t").select(key, "rank", "pos", "cik")
     w = F.lower(F.trim(key))
-    # titles can only be compared one by one; just the names without a ticker are, against the register's few thousand titles
-    rest = names.select(key).join(exact.select(key).distinct(), key, "left_anti")
-    fuzzy = rest.join(entries.select("title", "cik", "pos"), w.contains(C("title")) | C("title").contains(w)).select(key, F.lit(2).alias("rank"), "pos", "cik")
+    # a name that stands in a title shares its first three letters (or its first, if it is shorter) with a place of the title, and
+    # the other way round: pairs meet by these keys and are then compared, so names never meet all titles
+    head = lambda c: F.when(F.length(c) >= 3, F.substring(c, 1, 3)).otherwise(F.substring(c, 1, 1))
+    places = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(F.substr(c, i, F.lit(3)), F.substr(c, i, F.lit(1)))))))
+    rest = names.select(key).join(exact.select(key).distinct(), key, "left_anti").distinct().withColumn("_w", w).where("_w <> ''")
+    titles = entries.where("title <> ''").select("title", "cik", "pos")
+    inside = rest.withColumn("_k", head(C("_w"))).join(titles.withColumn("_k", places(C("title"))), "_k").where(C("title").contains(C("_w")))
+    around = rest.withColumn("_k", places(C("_w"))).join(titles.withColumn("_k", head(C("title"))), "_k").where(C("_w").contains(C("title")))
+    fuzzy = inside.select(key, F.lit(2).alias("rank"), "pos", "cik").union(around.select(key, F.lit(2).alias("rank"), "pos", "cik"))
     return exact.union(fuzzy).groupBy(key).agg(F.min_by("cik", F.struct("rank", "pos")).alias("cik"))
 
 
