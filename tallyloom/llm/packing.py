@@ -18,6 +18,7 @@ that a third of all items share is still spread over all tasks.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -48,8 +49,10 @@ class TokenCounter:
 
     def __init__(self, path: str) -> None:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        # a vocabulary that the driver shipped with addFile has no path of its own on an executor
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         encode = self._encode
@@ -149,7 +152,7 @@ def _assign(batches: Iterator[pd.DataFrame], segments: np.ndarray, stride: int,
         yield out
 
 
-def pack(documents: DataFrame, limits: DataFrame, *, tokenizer: str = TOKENIZER, tiers: int = 4, step_group: int = STEP_GROUP) -> DataFrame:
+def pack(documents: DataFrame, limits: DataFrame, *, tokenizer: str | None = None, tiers: int = 4, step_group: int = STEP_GROUP) -> DataFrame:
     """doc_id, piece_no, token_start, n_tokens, container_id, slot_start, step_group.
 
     One row per document; only a document of more tokens than the container
@@ -158,7 +161,10 @@ def pack(documents: DataFrame, limits: DataFrame, *, tokenizer: str = TOKENIZER,
     are left out; a repeated id is packed once, with its longest text.
     Containers have the max_size of the limit `container`; each step group
     has at most `step_group` containers and all have nearly the same tokens.
+    The vocabulary's path is a parameter, else the setting
+    spark.tallyloom.tokenizer; executors need the file or get it by addFile.
     """
+    tokenizer = tokenizer or documents.sparkSession.conf.get("spark.tallyloom.tokenizer", TOKENIZER)
     row = limits.where("lower(item_kind) = 'container' and size_unit = 'tokens' and max_size > 0").agg(F.max("max_size").alias("n")).first()
     if row.n is None:
         raise ValueError("size_limits has no row for the container")

@@ -53,6 +53,8 @@ ALONE_SHARE = 0.8
 #: ... or it is repeated word for word within this share of them: filler.
 REPEATED_SHARE = 0.25
 BROADCAST_ROWS = 200_000
+#: Stands for a word that decides nothing.
+WILD = "qx"
 
 # Markup tags and entities, which are no slots.
 _TAGS = "a b i p u br hr h1 h2 h3 h4 h5 h6 ul ol li td th tr div pre sub sup span code font body head html meta link table thead tbody title script style noscript form input img em strong small center blockquote xbrl error key message resource section article header footer nav main sec document type sequence filename description text"
@@ -219,7 +221,7 @@ def _is_filler(line: str, low: str, ws: list[str]) -> bool:
     if any(m in low for m in _LATIN_MARKS) and sum(w in LOREM for w in ws) >= 0.6 * len(ws) and sum(w in LOREM and len(w) > 3 for w in ws) >= 3:
         return True
     kinds = len(set(ws))
-    if kinds <= max(6, len(ws) // 2) and all(map(_KEYS.match, ws)) or kinds == 1 and len(ws) >= 8:
+    if kinds <= max(6, len(ws) // 2) and all(map(_KEYS.match, ws)) or kinds == 1 and len(ws) >= 8 and ws[0] != WILD:
         return True
     return len(ws[0]) >= 2 and len(set(ws[0])) == 1 and all(len(set(w)) == 1 and w.isalpha() and len(w) >= 2 for w in ws)
 
@@ -263,7 +265,7 @@ class TemplateTree:
     """
 
     #: Wildcards; numbers that may be status codes have two of their own, by length.
-    WORD, NUMBER, CODE, LONG_CODE = "qx", "0", "404", "4040"
+    WORD, NUMBER, CODE, LONG_CODE = WILD, "0", "404", "4040"
 
     def __init__(self) -> None:
         self.root: dict[int, dict] = {}
@@ -393,16 +395,20 @@ class Reader:
 
     def line_verdict(self, line: str, found: int, latin: int) -> str:
         """`classify` by template; rules are tried only where a mark or the first word calls for it."""
-        n = line.count(" ")
-        if found & 7 or latin >= 3 or n < 24:
-            key = self.seen.get(line)
-            if key is None:
+        first, last = line.split(None, 1)[0].strip(_EDGES), line.rsplit(None, 1)[-1].strip(_EDGES)
+        if found & 7 or latin >= 3 or first == last or len(set(first)) <= 1 or _KEYS.match(first):
+            known = self.seen.get(line)
+            if known is None:
                 if len(self.seen) > REMEMBERED:
                     self.seen.clear()
-                key = self.seen[line] = self.tree.verdict(line)
-            return key
-        first = line.split(None, 1)[0].strip(".,;:|[]()*")
-        return self.tree.verdict(line) if len(set(first)) <= 1 or _KEYS.match(first) else "text"
+                known = self.seen[line] = self.tree.verdict(line)
+            return known
+        if line.count(" ") >= 24:
+            return "text"
+        ws = _WORD.findall(line)
+        if all(w in _MENU for w in ws) and 0 < len(ws) <= 12 or line.startswith(("(c) ", "© ", "&copy;")) and len(ws) <= 8:
+            return "menu"
+        return "text" if sum(not w.isdigit() for w in ws) >= 4 else "title"
 
     def read(self, text: str) -> tuple[bool, int, int, bool, bool, dict[int, int]]:
         """filler, error lines, script lines, alone, navigation, and units: template id with bits 1 repeated, 2 speaks of scripts."""
@@ -455,6 +461,7 @@ class Reader:
         return filler, error, script, len(units) <= 2 and titles <= 2, menu, units
 
 
+_EDGES = ".,;:|[]()*"
 #: Words of navigation that may be joined to a message's first or last line.
 _CHROME = _MENU | {""}
 

@@ -561,3 +561,9 @@ def test_p5_chains_of_admissible_pairs(spark):
                         root[i] = root[j] = min(root[i], root[j])
         assert [got[k * 100 + i] for i in range(len(own))] == [k * 100 + r for r in root], own
     assert len({got[i] for i in range(4)}) == 2
+
+
+def test_p8_wildcards_are_no_repeated_word():
+    tree = residue.TemplateTree()
+    line = "until harbour vessels unload grain beside quays some evenings until"
+    assert tree.verdict(line) == residue.classify(line) == "text"
