@@ -18,6 +18,7 @@ from tallyloom.fixed import PII, TAG_FIELDS
 from tallyloom.functions import text as X
 from tallyloom.operators import facts, tables
 from tallyloom.plans import ingest
+from tallyloom.plans.ingest import Page
 from tallyloom.session import read_table
 from tallyloom.sources import edgar
 
@@ -176,12 +177,12 @@ def pdf_chunks(s, d):
     g = g.withColumns({"a": first, "b": rest}).where((F.size("a") >= 3) & (F.size("b") >= 3))
     content = F.to_json(F.struct(C("filing_id"), C("fiscal_period"), C("a"), C("b")))
 
-    def scan(content: str) -> list[ingest.Page]:
+    def scan(content: str) -> list[Page]:
         x = json.loads(content)
         grid = lambda rows: [["Item", x["fiscal_period"]], *([r["canonical_field"], r["v"]] for r in rows)]
-        one = ingest.Page(1, [((0, 0, 90, 10), "Item 8.  Statements"), ((0, 40, 90, 50), "(in millions)"), ((0, 60, 90, 70), f"Statement of {x['filing_id']}"), ((5, 110, 20, 120), "a cell, inside")], [((0, 80, 100, 200), grid(x["a"]), [])])
-        two = ingest.Page(2, [((0, 210, 90, 220), "(1) As handed in.")], [((0, 80, 100, 200), grid(x["b"]), [])])
-        return [one, two, ingest.Page(3, [], []), ingest.Page(4, [], [])]
+        one = Page(1, [((0, 0, 90, 10), "Item 8.  Statements"), ((0, 40, 90, 50), "(in millions)"), ((0, 60, 90, 70), f"Statement of {x['filing_id']}"), ((5, 110, 20, 120), "a cell, inside")], [((0, 80, 100, 200), grid(x["a"]), [])])
+        two = Page(2, [((0, 210, 90, 220), "(1) As handed in.")], [((0, 80, 100, 200), grid(x["b"]), [])])
+        return [one, two, Page(3, [], []), Page(4, [], [])]
 
     read = lambda content, page: "Text that was read from a scan, of more than fifty characters in all." if page == 3 else "too short"
     return _chunks(_files(g, "pdf", "pdf", content), pdf=scan, ocr=read)

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,18 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []  # paths only: modules are sent to Python workers by value
 
 
 def release() -> None:
     """Deletes all tables that `materialize` has written so far; for drivers that live long, once their results are stored."""
-    while _written:
-        spark, path = _written.pop()
+    sc = SparkContext._active_spark_context
+    while _written and sc is not None:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
+            p = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be ending
             pass
 
 
@@ -77,7 +77,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
