@@ -190,7 +190,7 @@ def has_slot(text: str) -> bool:
 
 def classify(line: str) -> str:
     """filler, script_notice, error_page, menu, title or text, for one line or template."""
-    low = line.lower() if line.isascii() else line.lower().translate(_FOLD)
+    low = lowered(line)
     ws = _WORD.findall(low)
     if not ws:
         return "title"
@@ -291,7 +291,7 @@ class TemplateTree:
 
     def template(self, line: str) -> str:
         """The line in lower case with its wildcards."""
-        low = line.lower() if line.isascii() else line.lower().translate(_FOLD)
+        low = lowered(line)
         return " ".join(map(self._mask, low.split()))
 
     def verdict(self, line: str) -> str:
@@ -386,6 +386,23 @@ def repeated_tail(tokens: list[str]) -> int:
     return best
 
 
+def _few_words(tokens: list[str], least: int = 4) -> bool:
+    """Whether fewer than `least` tokens are free of digits."""
+    n = 0
+    for t in tokens:
+        if t.isalpha() or not any(map(str.isdigit, t)):
+            n += 1
+            if n == least:
+                return False
+    return True
+
+
+def lowered(text: str) -> str:
+    """Lower case, with the letters that patterns without case take for others."""
+    low = text.lower()
+    return low if low.isascii() or not any(c in low for c in "ıſ\u0307") else low.translate(_FOLD)
+
+
 class Reader:
     """What one record's text says by itself, and the units whose templates are counted over all records."""
 
@@ -412,7 +429,7 @@ class Reader:
 
     def read(self, text: str) -> tuple[bool, int, int, bool, bool, dict[int, int]]:
         """filler, error lines, script lines, alone, navigation, and units: template id with bits 1 repeated, 2 speaks of scripts."""
-        low = text.lower() if text.isascii() else text.lower().translate(_FOLD)
+        low = lowered(text)
         filler, error, script, titles, menu = False, 0, 0, 0, False
         times: dict[str, int] = {}
         speaks: set[str] = set()
@@ -452,7 +469,7 @@ class Reader:
             for part in filter(None, (tokens[a:split], tokens[split:b])):
                 size = period_of(part)
                 again = n > 1 or size < len(part)
-                if not again and sum(not any(map(str.isdigit, t)) for t in part) < 4:
+                if not again and _few_words(part):
                     titles += 1
                     continue
                 own = ["0" if any(map(str.isdigit, t)) else t for t in part[: min(size, DEPTH)]]
