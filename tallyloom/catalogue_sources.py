@@ -252,6 +252,6 @@ def redacted_texts(s, d):
     n = F.lpad((C("doc_id") % 1000).cast("string"), 3, "0")
     lit = F.lit
     added = F.concat(F.coalesce("text", lit("")), lit(" SSN "), n, lit("-45-6789 EIN 12-"), n, lit("4567 ref 021"), n, lit("021 card 4111 1111 1111 1"), n, lit(" IBAN DE89370400440532013"), n, lit(" mail a"), n, lit("@b.co call (212) "), n, lit("-0199 host 10.0.0."), (C("doc_id") % 200).cast("string"), lit(" pass C12345"), n, lit(" Acct: "), n, lit("4567 "))
-    r = read_table(s, d, "documents").select("doc_id", added.alias("t")).select("doc_id", F.md5(X.redact(C("t"))).alias("redacted_md5"), X.redaction_counts(C("t")).alias("c"))
+    r = X.redacted(read_table(s, d, "documents").select("doc_id", added.alias("t")), "t").select("doc_id", F.md5("t").alias("redacted_md5"), C("redactions").alias("c"))
     of = lambda name: F.coalesce(F.get(F.filter("c", lambda x: x["entity_type"] == name), lit(0))["occurrences"], lit(0)).cast("long")
     return r.select("doc_id", "redacted_md5", *[of(name).alias(name.lower()) for name, *_ in PII])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.fixed import PII
@@ -106,6 +106,22 @@ def redact(c: Column) -> Column:
     return F.when(c.rlike(ANY_PII), out).otherwise(c)
 
 
+def redacted(df: DataFrame, column: str) -> DataFrame:
+    """`df` with the column redacted and `redactions`, the counts of `redaction_counts`.
+
+    For tables: each pattern is one step of its own, so a text is searched
+    twice a pattern, where `redact` and `redaction_counts` beside each other
+    start anew for every type.
+    """
+    have = list(df.columns)
+    df = df.withColumn("_t0", F.col(column))
+    for k, (name, pattern, mark) in enumerate(PII):
+        n = F.regexp_count(f"_t{k}", F.lit(pattern)).alias(f"_n{k}")
+        df = df.select(*have, *[f"_n{i}" for i in range(k)], f"_t{k}", n).withColumn(f"_t{k + 1}", F.when(F.col(f"_n{k}") > 0, F.regexp_replace(f"_t{k}", pattern, mark)).otherwise(F.col(f"_t{k}"))).drop(f"_t{k}")
+    found = F.array(*[F.struct(F.lit(name).alias("entity_type"), F.coalesce(f"_n{k}", F.lit(0)).alias("occurrences")) for k, (name, *_) in enumerate(PII)])
+    return df.select(*[F.col(f"_t{len(PII)}").alias(c) if c == column else F.col(c) for c in have], F.filter(found, lambda x: x["occurrences"] > 0).alias("redactions"))
+
+
 def redaction_counts(c: Column) -> Column:
     """array<struct<entity_type, occurrences>> of what `redact` replaces; types without any are left out."""
     out, run = [], F.coalesce(c, F.lit(""))
