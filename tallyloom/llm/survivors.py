@@ -42,7 +42,7 @@ def field_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]+", "")
 
 
-def linked(combinations: DataFrame, name: str = "p5") -> DataFrame:
+def linked(combinations: DataFrame) -> DataFrame:
     """id, root: combinations (id, company_id, field, is_point, end_day, length) by the smallest id that chains of admissible pairs reach.
 
     Two combinations of one company, field and kind are admissible if their
@@ -63,8 +63,7 @@ def linked(combinations: DataFrame, name: str = "p5") -> DataFrame:
     l = inside.select(*key, F.col("id").alias("u"), F.col("length").alias("lu"), F.col("cell").alias("cu"), near).select(*key, "u", "lu", "cu", "n.end_day", "n.band")
     r = inside.select(*key, "end_day", "band", F.col("id").alias("v"), F.col("length").alias("lv"), F.col("cell").alias("cv"))
     meets = l.join(r, [*key, "end_day", "band"]).where((F.col("cu") != F.col("cv")) & (F.abs(F.col("lu") - F.col("lv")) <= LENGTH_APART))
-    links = materialize(star.union(meets.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).distinct(), f"{name}-links")
-    root = components(links)
+    root = components(star.union(meets.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
     return combinations.select("id").join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
