@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.catalogue import _VALUED, _joined, _pairs, query
 from tallyloom.fixed import PII, TAG_FIELDS
 from tallyloom.functions import text as X
-from tallyloom.operators import facts, tables
+from tallyloom.operators import facts, matching, tables
 from tallyloom.plans import ingest
 from tallyloom.plans.ingest import Page
 from tallyloom.session import read_table
@@ -255,3 +255,21 @@ def redacted_texts(s, d):
     r = X.redacted(read_table(s, d, "documents").select("doc_id", added.alias("t")), "t").select("doc_id", F.md5("t").alias("redacted_md5"), C("redactions").alias("c"))
     of = lambda name: F.coalesce(F.get(F.filter("c", lambda x: x["entity_type"] == name), lit(0))["occurrences"], lit(0)).cast("long")
     return r.select("doc_id", "redacted_md5", *[of(name).alias(name.lower()) for name, *_ in PII])
+
+
+# ---------------------------------------------------------------- passages on pages
+
+_TOKENS = r"""list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9.,%$€£''\-]*'), lambda t: regexp_replace(lower(t), '^[.,;:()\[\]''"]+|[.,;:()\[\]''"]+$', '', 'g')), lambda t: t <> '')"""
+
+
+@query(f"SELECT doc_id, len(t) AS tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL)")
+def text_tokens(s, d):
+    t = read_table(s, d, "documents").where("text is not null").select("doc_id", matching.tokens(C("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS key, 1::INT AS run_no, 0::INT AS passage_at, 5::INT AS page_at, 20::INT AS size FROM (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL) WHERE len(t) >= 30 AND len(list_distinct(t[1:45])) = len(t[1:45])")
+def passage_runs(s, d):
+    """Where twenty tokens of a text stand in it; asked of texts whose first tokens all differ, so that there is one answer."""
+    t = read_table(s, d, "documents").where("text is not null").select("doc_id", matching.tokens(C("text")).alias("t")).where((F.size("t") >= 30) & (F.size(F.array_distinct(F.slice("t", 1, 45))) == F.size(F.slice("t", 1, 45))))
+    return matching.longest_runs(t.select(C("doc_id").alias("key"), F.array_join(F.slice("t", 6, 20), " ").alias("passage"), F.array_join("t", " ").alias("page")))

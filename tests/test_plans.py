@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import facts, joins, reports, retrieval, scoring
+from tallyloom.operators import facts, joins, matching, reports, retrieval, scoring
 from tallyloom.plans import answering, ingest
 from tallyloom.session import read_table
 from tallyloom.sources import files
@@ -94,3 +94,33 @@ def test_logs_are_appended(spark, tmp_path):
     assert got.count() == 2 and got.first().latency_ms.total == 30 and len(got.first().query_preview) == 120
     run = files.run_envelope(spark.createDataFrame([(2, True), (1, None)], "id int, passed boolean"), mode="m").first()
     assert (run.total, run.pass_pct, [x.id for x in run.results]) == (2, 50.0, [1, 2])
+
+
+def test_passages_on_pages(spark):
+    df = spark.createDataFrame([("a", "Net sales, rose (by) 5% in Q1.", "Intro text. Net sales rose by 5% in q1 and more"), ("b", "x y", "x y"), ("c", None, "text"), ("d", "", None)], "key string, passage string, page string")
+    assert [tuple(r) for r in matching.longest_runs(df).collect()] == [("a", 1, 0, 2, 7)]
+    at = [(10.0 * k, 0.0, 10.0 * k + 8, 9.0) for k in range(5)] + [(0.0, 20.0, 8.0, 29.0), (200.0, 20.0, 208.0, 29.0), (300.0, 20.0, 301.0, 29.0)]
+    assert matching.boxes([(0, 1, 6)], at) == [(10.0, 0.0, 48.0, 9.0), (0.0, 20.0, 8.0, 29.0), (200.0, 20.0, 208.0, 29.0)]
+    assert matching.boxes([(0, 7, 1)], at) == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_joins_and_aggregates(spark, sf):
+    from tallyloom import catalogue
+
+    q = catalogue.queries()
+    as_of = plan(q["as_of_filing"](spark, sf))
+    assert "NestedLoop" not in as_of and "CartesianProduct" not in as_of and as_of.count("Window") >= 1
+    within = plan(q["filings_within_periods"](spark, sf))
+    assert "NestedLoop" not in within and "CartesianProduct" not in within
+    for name in ("run_summary", "mean_errors", "hallucination_counts", "doc_chunk_counts"):
+        text = plan(q[name](spark, sf))
+        assert text.count("HashAggregate") >= 2 and "SortAggregate" not in text, name  # partial and final
+    best = plan(q["best_fact_reader"](spark, sf))
+    assert "BroadcastHashJoin" in best and "SortMergeJoin" not in best  # dimensions under the threshold
+    for name in ("cik_lookup", "vector_topk_of_each", "question_hits", "attributed_check"):
+        assert "CartesianProduct" not in plan(q[name](spark, sf)), name
+    assert "MapInArrow" not in plan(q["attributed_check"](spark, sf)) and "MapInArrow" not in plan(q["facts_context_block"](spark, sf))
