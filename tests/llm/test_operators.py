@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -536,6 +537,42 @@ def test_p2_validated_cutoffs_and_defects():
             assert posterior[d][v] >= cuts[d], (d, bad)
 
 
+def test_p2_letters_are_learned_from_all_rows(spark, monkeypatch):
+    """Dutch stands only in the rows whose ids have the largest hashes, behind 21 000 others."""
+    ids = [r.id for r in spark.range(21_040).orderBy(F.xxhash64("id")).collect()]
+    english = ("What was the revenue of the unit?", "It was up on the year before, and that is what they would have had.")
+    dutch = ("Wat is het aandeel van de eenheid?", "Volgens het jaarverslag werd de omzet van het bedrijf door de verkoop ten opzichte van het vorig jaar niet lager.")
+    rows = [(i, *(english if k < 21_000 else dutch), None) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "result_id long, question string, model_answer string, error string").repartition(8)
+    models = []
+    monkeypatch.setattr(answer_defects, "partial", lambda f, *a, **how: models.append(how["model"]) or partial(f, *a, **how))
+    answer_defects.labelled(df).count()
+    assert models[0].languages == ["en", "nl"]
+
+
+def test_p2_cutoffs_stand_on_all_pairs(spark):
+    """Counts of votes and of tests take in every pair once, whatever the partitions and repeats."""
+    rng = random.Random(9)
+    rows = [(k, f"What net income did Acme{k} Foods report for FY2020?", f"The net income of Acme{k} Foods came to ${rng.randint(1, 99)}.5 million in FY2020, which was due to higher volume.", None) for k in range(3_000)]
+    rows += [(3_000 + k, f"Wie hoch war der Umsatz von Acme{k} im Jahr 2020?", f"Laut Bericht lag der Umsatz von Acme{k} bei ${k}.5 million, und das war vor allem dem höheren Absatz zu verdanken.", None) for k in range(1_000)]
+    rows += [(4_000 + k, "What net income did Acme report?", None, None) for k in range(50)]
+    model = answer_defects.LetterModel([])
+    posteriors = [{d: answer_defects.fit({}, d) for d in answer_defects.DEFECTS}] * answer_defects.FOLDS
+    schema = "result_id long, question string, model_answer string, error string"
+    got = []
+    for n in (1, 7):
+        voted = answer_defects.voted_on(spark.createDataFrame(rows, schema).repartition(n), model)
+        votes, tests = answer_defects.pattern_counts(voted).collect(), answer_defects.counts_of_tests(voted, posteriors, model).collect()
+        for d in answer_defects.DEFECTS:
+            assert sum(r.n for r in votes if r.defect == d) == 4_050 and {r.fold for r in votes} == set(range(answer_defects.FOLDS))
+            assert sum(r.n for r in tests if r.defect == d and not r.made) == 4_000
+        assert 3_990 <= sum(r.n for r in tests if r.made) <= 4_000  # hardly any pair can't have its defect
+        got.append((set(votes), set(tests)))
+    assert got[0] == got[1]
+    once, twice = (answer_defects.labelled(spark.createDataFrame(r, schema)) for r in (rows, rows + rows[::-1]))
+    assert set(once.collect()) == set(twice.collect()) and once.count() == twice.count() == 50
+
+
 def test_p2_words_of_the_question_say_nothing_of_the_language():
     model = answer_defects.LetterModel([])
     v = answer_defects.votes("What diluted earnings per share did Acme report?", "| Item | Prior |\n| --- | --- |\n| Diluted earnings per share | $1.27 |", None, model)
